@@ -46,7 +46,7 @@ def staged(df: DataFrame) -> DataFrame:
 
 def run_dir(spark: SparkSession, kind: str) -> str:
     """A new folder name below the shared one, for a written table."""
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/ledgerline-{kind}-{uuid.uuid4().hex}"
 
 
 def column(df: DataFrame, name: str, kind: str) -> Column:
@@ -104,3 +104,19 @@ def id_crc_mod(doc_id: Column, n: int) -> Column:
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) that depends on the parts alone (53 bits of a hash)."""
     return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / F.lit(float(1 << 53))
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: like ``staged``, for more
+    rows. ``forget`` removes it once nothing reads it any more."""
+    path = run_dir(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove the written tables that ``tables`` read."""
+    for folder in {name.rsplit("/", 1)[0] for df in tables for name in df.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith("ledgerline-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import bpe, jaccard, mixing, quality_rules, sharding
 
 QUERIES = {
     "op1_jump_sharding": sharding.op1_jump_sharding,
     "op4_pivotal_mixing": mixing.op4_pivotal_mixing,
+    "op7_rule_ledger": quality_rules.op7_rule_ledger,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
+    "op10_bpe": bpe.op10_bpe,
+    "rule_ablations": quality_rules.op7_rule_ablations,
 }
 
 ORACLE_SQL = {
     "op1_jump_sharding": sharding.OP1_SQL,
+    "op7_rule_ledger": quality_rules.OP7_SQL,
+    "rule_ablations": quality_rules.OP7_ABLATIONS_SQL,
 }
