@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, mixing, quality_rules, sharding
+from . import ann, bpe, jaccard, langid, mixing, quality_model, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     "op1_jump_sharding": sharding.op1_jump_sharding,
+    "op2_language_mixture": langid.op2_language_mixture,
+    "op3_toxicity_chain": toxicity.op3_toxicity_chain,
     "op4_pivotal_mixing": mixing.op4_pivotal_mixing,
+    "op5_vantage_point": ann.op5_vantage_point,
+    "op6_quality_ftrl": quality_model.op6_quality_ftrl,
     "op7_rule_ledger": quality_rules.op7_rule_ledger,
+    "op8_warc": warc.op8_warc,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_bpe": bpe.op10_bpe,
     "rule_ablations": quality_rules.op7_rule_ablations,
@@ -16,5 +21,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_jump_sharding": sharding.OP1_SQL,
     "op7_rule_ledger": quality_rules.OP7_SQL,
+    "op8_warc": warc.OP8_SQL,
     "rule_ablations": quality_rules.OP7_ABLATIONS_SQL,
 }
