@@ -13,13 +13,14 @@ by a 64-bit hash of the set and its size, so copies cost nothing beyond the firs
    tile only for sets that have ``e`` of them or more, so that they tell something.
    A passage that many documents share makes no large tile, unless a segment holds
    nothing else.
-2. *Candidates.* Each task joins the sets of its tiles into a spanning forest;
-   the forests' connected components, found by star contraction, are sent the
-   shingles of their sets. No pairs are ever listed.
+2. *Candidates.* Tiles of the same sets are one. In a tile, sets are held against
+   each other by bitmaps of their hashed shingles: bits of one that the other
+   lacks bound the overlap from above, and pairs that can't link go. The connected
+   components of what is left, found by star contraction, are sent the shingles of
+   their sets. Pairs are never listed; a tile's edges are a spanning forest.
 3. *Links.* In a component, sets are sorted by size; each is held against the
-   larger ones within reach that aren't joined to it yet: first by bitmaps of
-   hashed shingles, where bits of one that the other lacks bound the overlap from
-   above, then by exact intersection of the sorted arrays. Components of many
+   larger ones within reach that aren't joined to it yet: by the bitmaps' bound
+   first, then by exact intersection of the sorted arrays. Components of many
    shingles are cut into tiles of size band by size band and block by block, so a
    task's share stays bounded.
 4. The links' connected components are the result.
@@ -173,8 +174,9 @@ def tile_keys(hashes: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tupl
     return np.concatenate(keys), np.concatenate(of)
 
 
-def forest(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node of its tree) that join all nodes of a key."""
+def shared_tiles(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tile, node) of the tiles that hold two different sets or more; a tile is
+    named by its sets, and tiles of the same sets are given once."""
     order = np.argsort(keys, kind="stable")
     keys, nodes = keys[order], nodes[order]
     same = np.zeros(len(keys) + 1, dtype=bool)
@@ -183,27 +185,58 @@ def forest(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     keys, nodes = keys[shared], nodes[shared]
     if not len(keys):
         return nodes, nodes
-    names, index = np.unique(nodes, return_inverse=True)
-    begins = np.concatenate([[True], keys[1:] != keys[:-1]])
-    head = index[np.maximum.accumulate(np.where(begins, np.arange(len(keys)), 0))]
-    pair = np.unique(head * len(names) + index)
-    a, b = pair // len(names), pair % len(names)
-    a, b = a[a != b], b[a != b]
-    label = np.arange(len(names))
-    while len(a):
-        la, lb = label[a], label[b]
-        least = np.minimum(la, lb)
-        np.minimum.at(label, la, least)
-        np.minimum.at(label, lb, least)
-        while True:
-            further = label[label]
-            if (further == label).all():
-                break
-            label = further
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
-    moved = label != np.arange(len(names))
-    return names[moved], names[label[moved]]
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])])
+    keys, nodes = keys[new], nodes[new]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    count = np.diff(np.append(starts, len(keys)))
+    name = mix64(np.add.reduceat(mix64(nodes.view(U64)), starts) + count.astype(U64)).view(_I64)
+    _, once = np.unique(name, return_index=True)
+    keep = np.zeros(len(starts), dtype=bool)
+    keep[once] = True
+    keep &= count > 1
+    rows = np.repeat(keep, count)
+    return np.repeat(name, count)[rows], nodes[rows]
+
+
+# --- signatures -----------------------------------------------------------
+def signature_words(sizes: np.ndarray) -> np.ndarray:
+    """64-bit words of a set's bitmap: about a bit for each shingle, a power of
+    two, so that a larger bitmap can be folded onto a smaller one."""
+    return 1 << np.ceil(np.log2(np.maximum(sizes, 64) / 64)).astype(_I64)
+
+
+def signatures(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bitmaps of sets, one after the other."""
+    words = signature_words(sizes)
+    stops = np.cumsum(words)
+    out = np.zeros(int(stops[-1]) if len(stops) else 0, dtype=U64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    low = hashes & (words[of] * 64 - 1).astype(U64)
+    np.bitwise_or.at(out, (stops - words)[of] + (low >> U64(6)).astype(_I64), U64(1) << (low & U64(63)))
+    return out
+
+
+def folded(marks: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps as rows of a matrix, folded to the smallest's length."""
+    least = min(map(len, marks))
+    out = np.empty((len(marks), least), dtype=U64)
+    for i, m in enumerate(marks):
+        out[i] = m if len(m) == least else np.bitwise_or.reduce(m.reshape(-1, least), axis=0)
+    return out
+
+
+def overlap_bound(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """No two sets of these bitmaps and sizes share more than this."""
+    lacks = np.bitwise_count(a & ~b).sum(axis=-1, dtype=_I64)
+    more = np.bitwise_count(b & ~a).sum(axis=-1, dtype=_I64)
+    return np.minimum(size_a - lacks, size_b - more)
+
+
+def need(size_a: np.ndarray, size_b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Shared shingles from which two sets link."""
+    return -(-num * (size_a + size_b) // (den + num))
 
 
 # --- connected components -------------------------------------------------
@@ -231,63 +264,43 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 # --- verification ---------------------------------------------------------
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """A bitmap of each set's hashes: at least two bits for each of the largest
-    set's shingles, so that it doesn't fill up."""
-    bits = 64
-    most = max(map(len, sets))
-    while bits < min(2 * most, 1 << 16):
-        bits *= 2
-    out = np.zeros((len(sets), bits // 64), dtype=U64)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    low = np.concatenate(sets) & U64(bits - 1)
-    np.bitwise_or.at(out, (row, (low >> U64(6)).astype(_I64)), U64(1) << (low & U64(63)))
-    return out
-
-
-def links(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs that link and join all of ``sets`` that are joined by links. With
-    ``side``, only pairs of different sides are looked at."""
-    size = np.array([len(s) for s in sets], dtype=_I64)
+def links(size: np.ndarray, marks: list[np.ndarray], sets: list[np.ndarray] | None, num: int, den: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that link, and join all sets that are joined by links; without
+    ``sets``, pairs that may link by their bitmaps. With ``side``, only pairs of
+    different sides are looked at."""
     order = np.argsort(size, kind="stable")
-    sorted_size = size[order]
-    marks = signatures(sets)[order]
-    root = np.arange(len(sets))
+    size = size[order]
+    marks = folded([marks[i] for i in order.tolist()])
+    root = np.arange(len(size))
     found = []
-
-    def joined(i: int, j: int) -> None:
-        a, b = root[i], root[j]
-        root[root == max(a, b)] = min(a, b)
-
-    reach = np.searchsorted(sorted_size, sorted_size * den // num, side="right")
-    for i in range(len(sets) - 1):
+    reach = np.searchsorted(size, size * den // num, side="right")
+    for i in range(len(size) - 1):
         j = np.arange(i + 1, reach[i])
         j = j[root[j] != root[i]]
         if side is not None:
             j = j[side[order[j]] != side[order[i]]]
         if not len(j):
             continue
-        need = -(-num * (sorted_size[i] + sorted_size[j]) // (den + num))
-        lacks = np.bitwise_count(marks[i] & ~marks[j]).sum(axis=1, dtype=_I64)
-        more = np.bitwise_count(marks[j] & ~marks[i]).sum(axis=1, dtype=_I64)
-        bound = np.minimum(sorted_size[i] - lacks, sorted_size[j] - more)
-        mine = sets[order[i]]
-        for k, least in zip(j[bound >= need].tolist(), need[bound >= need].tolist(), strict=True):
+        least = need(size[i], size[j], num, den)
+        j = j[overlap_bound(marks[i], size[i], marks[j], size[j]) >= least]
+        for k in j.tolist():
             if root[k] == root[i]:
                 continue
-            other = sets[order[k]]
-            at = np.searchsorted(other, mine)
-            at[at == len(other)] = 0
-            if int(np.count_nonzero(other[at] == mine)) >= least:
-                found.append((int(order[i]), int(order[k])))
-                joined(i, k)
+            if sets is not None:
+                mine, other = sets[order[i]], sets[order[k]]
+                at = np.searchsorted(other, mine)
+                at[at == len(other)] = 0
+                if int(np.count_nonzero(other[at] == mine)) < need(size[i], size[k], num, den):
+                    continue
+            found.append((int(order[i]), int(order[k])))
+            root[root == max(root[i], root[k])] = min(root[i], root[k])
     return found
 
 
 # --- the operator ---------------------------------------------------------
 def _entries(num: int, den: int, width: int, fine: int):
-    """Text rows -> rows (p, a, b, n) of packed arrays: p >= 0: tile keys, set
-    ids and sizes; p < 0: ids of documents, set ids and sizes (-1 - n: null id)."""
+    """Text rows -> rows (p, a, b, n, s) of packed arrays: p >= 0: tile keys and
+    set ids; p < 0: ids of documents, set ids, sizes (-1 - n: null id), bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -301,6 +314,7 @@ def _entries(num: int, den: int, width: int, fine: int):
                 docs = doc_id.fill_null(0).to_numpy(zero_copy_only=False).astype(_I64)
                 turn += 1
                 p, a, b, c = [-1 - turn % fine], [docs.tobytes()], [ids.tobytes()], [np.where(null, -1 - sizes, sizes).astype(_I64).tobytes()]
+                s = [signatures(hashes, sizes).tobytes()]
                 # Copies within a piece are entered once.
                 _, once = np.unique(ids, return_index=True)
                 keep = np.zeros(len(sizes), dtype=bool)
@@ -318,28 +332,85 @@ def _entries(num: int, den: int, width: int, fine: int):
                         a.append(keys[x:y].tobytes())
                         b.append(nodes[x:y].tobytes())
                         c.append(b"")
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], ["p", "a", "b", "n"])
+                        s.append(b"")
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), *(pa.array(x, pa.binary()) for x in (a, b, c, s))], ["p", "a", "b", "n", "s"])
 
     return run
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed rows -> rows (kind, u, v, n): 0: edges of a forest over the task's
-    tiles; 1: document id, set id and size."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows -> rows (kind, u, v, n, s): 0: tile and set id; 1: document id,
+    set id, size and bitmap."""
     keys, nodes = [], []
-    out = lambda kind, u, v, n: pa.RecordBatch.from_arrays([pa.array(np.full(len(v), kind), pa.int32()), u, pa.array(v, pa.int64()), pa.array(n, pa.int64())], ["kind", "u", "v", "n"])
+    names = ["kind", "u", "v", "n", "s"]
     for batch in batches:
-        for p, a, b, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for p, a, b, n, s in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if p >= 0:
                 keys.append(np.frombuffer(a, dtype=U64))
                 nodes.append(np.frombuffer(b, dtype=_I64))
-            else:
-                size = np.frombuffer(n, dtype=_I64)
-                null = size < 0
-                yield out(1, pa.array(np.frombuffer(a, dtype=_I64), pa.int64(), mask=null), np.frombuffer(b, dtype=_I64), np.where(null, -1 - size, size))
+                continue
+            size = np.frombuffer(n, dtype=_I64)
+            null = size < 0
+            size = np.where(null, -1 - size, size)
+            stops = (8 * np.cumsum(signature_words(size))).tolist()
+            marks = pa.array([s[x:y] for x, y in zip([0, *stops[:-1]], stops, strict=True)], pa.binary())
+            docs = pa.array(np.frombuffer(a, dtype=_I64), pa.int64(), mask=null)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(size)), pa.int32()), docs, pa.array(np.frombuffer(b, dtype=_I64), pa.int64()), pa.array(size, pa.int64()), marks], names)
     if keys:
-        u, v = forest(np.concatenate(keys), np.concatenate(nodes))
-        yield out(0, pa.array(u, pa.int64()), v, np.zeros(len(u), dtype=_I64))
+        u, v = shared_tiles(np.concatenate(keys), np.concatenate(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(u)), pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.binary())], names)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of equal first column, which come in a row, without that column."""
+    now, rows = None, []
+    for batch in batches:
+        for first, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if first != now:
+                if rows:
+                    yield rows
+                now, rows = first, []
+            rows.append(rest)
+    if rows:
+        yield rows
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["u", "v"])
+
+
+def _bounded(num: int, den: int):
+    """Rows (tile, set id, size, bitmap), a tile's in a row -> edges (u, v) that
+    join the sets which may link by their bitmaps. Tiles of two go together."""
+
+    def two(held: list[list]) -> list[tuple[int, int]]:
+        out = []
+        words = np.array([min(len(x[2]), len(y[2])) // 8 for x, y in held])
+        for w in np.unique(words).tolist():
+            which = np.flatnonzero(words == w).tolist()
+            fold = lambda m: np.bitwise_or.reduce(np.frombuffer(m, dtype=U64).reshape(-1, w), axis=0)  # noqa: B023, E731
+            a, b = (np.array([fold(held[i][k][2]) for i in which]) for k in (0, 1))
+            na, nb = (np.array([held[i][k][1] for i in which]) for k in (0, 1))
+            ok = (overlap_bound(a, na, b, nb) >= need(na, nb, num, den)) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
+            out += [(held[which[i]][0][0], held[which[i]][1][0]) for i in np.flatnonzero(ok).tolist()]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twos: list[list] = []
+        for rows in _grouped(batches):
+            rows = list({r[0]: r for r in rows}.values())
+            if len(rows) == 2:
+                twos.append(rows)
+                if len(twos) >= 20_000:
+                    yield _pairs(two(twos))
+                    twos = []
+            elif len(rows) > 2:
+                found = links(np.array([r[1] for r in rows]), [np.frombuffer(r[2], dtype=U64) for r in rows], None, num, den)
+                yield _pairs([(rows[i][0], rows[j][0]) for i, j in found])
+        if twos:
+            yield _pairs(two(twos))
+
+    return run
 
 
 def _arrays(width: int):
@@ -357,32 +428,26 @@ def _arrays(width: int):
     return run
 
 
-def _verify(num: int, den: int):
+def _verified(num: int, den: int):
     """Rows (tile, side, set_id, shingles), a tile's in a row -> links (u, v)."""
 
-    def tile(rows: dict[int, tuple[int, np.ndarray]]) -> tuple[list[int], list[int]]:
-        ids = sorted(rows)
-        side = np.array([rows[i][0] for i in ids])
-        found = links([rows[i][1] for i in ids], num, den, side if (side != side[0]).any() else None) if len(ids) > 1 else []
-        return [ids[i] for i, _ in found], [ids[j] for _, j in found]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, u, v = None, {}, [], []
-        for batch in batches:
-            for t, s, i, x in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if t != now:
-                    if len(rows) > 1:
-                        a, b = tile(rows)
-                        u += a
-                        v += b
-                    now, rows = t, {}
-                rows[i] = (s, np.frombuffer(x, dtype=U64))
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-                u, v = [], []
-        if len(rows) > 1:
-            a, b = tile(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
+        held: list[tuple[int, int]] = []
+        for rows in _grouped(batches):
+            rows = list({r[1]: r for r in rows}.values())
+            if len(rows) > 1:
+                sets = [np.frombuffer(r[2], dtype=U64) for r in rows]
+                size = np.array([len(x) for x in sets], dtype=_I64)
+                side = np.array([r[0] for r in rows])
+                flat, words = signatures(np.concatenate(sets), size), signature_words(size)
+                marks = np.split(flat, np.cumsum(words)[:-1])
+                found = links(size, marks, sets, num, den, side if (side != side[0]).any() else None)
+                held += [(rows[i][1], rows[j][1]) for i, j in found]
+            if len(held) >= 10_000:
+                yield _pairs(held)
+                held = []
+        if held:
+            yield _pairs(held)
 
     return run
 
@@ -422,25 +487,32 @@ def join(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR
     # (1 - t) / t of its shingles, with what the neighbouring band adds.
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 6 * 2 * (den - num) / num / entries_per_task))
-    packed = rows.mapInArrow(_entries(num, den, width, 4 * tasks), "p int, a binary, b binary, n binary")
-    met = written(packed.repartition(tasks, "p").mapInArrow(_joined, "kind int, u long, v long, n long"), "sets")
+    packed = rows.mapInArrow(_entries(num, den, width, 4 * tasks), "p int, a binary, b binary, n binary, s binary")
+    met = written(packed.repartition(tasks, "p").mapInArrow(_gathered, "kind int, u long, v long, n long, s binary"), "sets")
     members = met.filter("kind = 1").select(F.col("u").alias("doc_id"), F.col("v").alias("set_id"), "n")
 
+    # Bitmaps go to the tiles; of a class of equal sets, one.
+    marks = met.filter("kind = 1 AND n > 0").select(F.col("v").alias("set_id"), "n", "s").dropDuplicates(["set_id"])
+    tiles = met.filter("kind = 0").select(F.col("u").alias("tile"), F.col("v").alias("set_id")).distinct()
+    marked = tiles.join(marks.hint("merge"), "set_id").select("tile", "set_id", "n", "s")
+    near = components(marked.repartition("tile").sortWithinPartitions("tile").mapInArrow(_bounded(num, den), "u long, v long"))
+
     # Shingles are fetched for one document of each class that has a candidate.
-    near = written(components(met.filter("kind = 0").select("u", "v")), "near")
     near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
     classes = members.filter("n > 0").groupBy("set_id", "n").agg(F.min("doc_id").alias("doc_id"))
     wanted = written(classes.join(near, F.col("set_id") == F.col("node")).select("set_id", "n", "root", "doc_id"), "wanted")
+    forget(spark, near)
     key = lambda c: F.struct(F.col(c).alias("k"))  # noqa: E731  a struct of null equals its like
-    texts = rows.withColumn("__key", key("doc_id")).join(wanted.select(key("doc_id").alias("__key")).distinct(), "__key", "left_semi").select("text")
+    named = wanted.select(key("doc_id").alias("__key")).distinct()
+    texts = rows.withColumn("__key", key("doc_id")).join(named.hint("merge"), "__key", "left_semi").select("text")
     shingles = texts.mapInArrow(_arrays(width), "set_id long, shingles binary")
-    held = shingles.join(_tiles(wanted, num, den, shingles_per_tile), "set_id").select("tile", "side", "set_id", "shingles")
-    verified = held.repartition("tile").sortWithinPartitions("tile").mapInArrow(_verify(num, den), "u long, v long")
+    held = shingles.join(_tiles(wanted, num, den, shingles_per_tile).hint("merge"), "set_id").select("tile", "side", "set_id", "shingles")
+    verified = held.repartition("tile").sortWithinPartitions("tile").mapInArrow(_verified(num, den), "u long, v long")
 
     reached = components(verified)
     of = members.join(reached, F.col("set_id") == F.col("node"), "left").select("doc_id", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
     of = written(of, "members")
-    forget(spark, met, near, wanted, reached)
+    forget(spark, met, wanted, reached)
     # Only classes of more than one row have anything to look up.
     least = of.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("root", "least")
     out = of.join(least.withColumnRenamed("root", "__root"), (F.col("root") == F.col("__root")) & (F.col("n") > 0), "left")
