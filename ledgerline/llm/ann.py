@@ -99,15 +99,14 @@ class Tree:
         length2 = (queries * queries).sum(axis=1)
         margin = 1e-9 * (1.0 + np.sqrt(length2 * self.longest2))
         best = np.full((n, k), -np.inf)
-        seen = np.zeros((n, len(self.nodes)), dtype=bool) if n * len(self.nodes) < 50_000_000 else None
+        seen = np.zeros((n, len(self.nodes)), dtype=bool)
         hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         scored = 0
 
         def leaf(node: int, act: np.ndarray) -> None:
             nonlocal scored
-            if seen is not None:
-                act = act[~seen[act, node]]
-                seen[act, node] = True
+            act = act[~seen[act, node]]
+            seen[act, node] = True
             a, b = self.nodes[node]
             for x in range(a, b, 4096):
                 y = min(b, x + 4096)
@@ -152,7 +151,6 @@ class Tree:
                 if go.any():
                     visit(child, act[go])
 
-        # Without room to mark what was seen, hits of a leaf may come twice.
         everyone = np.arange(n)
         descend(0, everyone)
         visit(0, everyone)
@@ -162,6 +160,8 @@ class Tree:
         good = s >= best[q, 0] - margin[q]
         pair = np.unique(q[good] * len(self.ids) + p[good])
         q, p = pair // len(self.ids), pair % len(self.ids)
+        if not len(q):
+            return q, p, np.empty(0), scored
         score = np.concatenate([exact(queries[q[i : i + 100_000]], self.vectors[p[i : i + 100_000]]) for i in range(0, len(q), 100_000)])
         order = np.lexsort((self.ids[p], -score, q))
         q, p, score = q[order], p[order], score[order]
