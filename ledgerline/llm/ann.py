@@ -183,12 +183,14 @@ def _build(table: pa.Table) -> pa.Table:
     return pa.table({"dim": table.column("dim")[:1], "shard": table.column("shard")[:1], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
 
-def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
+def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, k: int = NEIGHBOURS) -> tuple[DataFrame, int]:
     """(dim, shard, tree) of all usable rows (vec_id, embedding), and the number
-    of shards. A shard has about ``shard_rows`` rows, by a hash of the id; rows
-    that repeat an id are told apart by a hash of the vector."""
+    of shards. A shard has about ``shard_rows`` rows, by a hash of the id and the
+    vector. Of rows that are alike in both, ``k`` are indexed: no search for k
+    neighbours can return more of them."""
     rows = vectors.select(column(vectors, "vec_id", "long").alias("vec_id"), column(vectors, "embedding", "array<double>").alias("v"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & _usable(F.col("v"))).withColumn("dim", F.size("v"))
+    rows = rows.filter(F.col("vec_id").isNotNull() & _usable(F.col("v"))).groupBy("vec_id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("vec_id", "v", F.size("v").alias("dim"))
     shards = max(1, math.ceil(rows.count() / shard_rows))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
     return staged(dealt.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, tree binary")), shards

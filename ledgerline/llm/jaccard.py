@@ -525,13 +525,14 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIM
     an id are no one's copy and stay."""
     names = docs.columns
     groups = join(docs, width, similar)
-    goes = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__goes"), F.col("n_shingles").alias("__n")).groupBy("__goes").agg(F.min("__n").alias("__n"))
+    goes = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__goes")).distinct()
     text = column(docs, "text", "string")
     rows = docs.withColumns({"__id": column(docs, "doc_id", "long"), "__hash": F.xxhash64(text)})
     left = rows.join(goes, F.col("__id") == F.col("__goes"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(1)))
-    left = left.withColumn("__nth", nth)
-    return left.filter(F.col("__id").isNull() | (F.col("__nth") == 1)).select(*[F.col(f"`{c}`") for c in names])
+    # A row without an id is alone; of others, Spark keeps one before the shuffle.
+    left = left.withColumn("__alone", F.when(F.col("__id").isNull(), F.monotonically_increasing_id()))
+    nth = F.row_number().over(Window.partitionBy("__id", "__hash", "__alone").orderBy(F.lit(1)))
+    return left.withColumn("__nth", nth).filter("__nth = 1").select(*[F.col(f"`{c}`") for c in names])
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, keep: Column, columns: lis
     """(doc_id, text, ``columns``) of up to ``most`` labelled rows, those of the
     smallest hashes of their ids; ``keep`` tells by doc_id which rows may be
     learned from. A document or label of a null id is not learned from; of
-    labels that repeat an id, one is taken."""
+    labels that repeat an id, one is taken, and so is one of the documents that
+    do (``fit``)."""
     ids = labels.filter(F.col("doc_id").isNotNull() & keep).groupBy("doc_id").agg(*[F.min(c).alias(c) for c in columns])
     chosen = ids.withColumn("__h", F.xxhash64("doc_id")).orderBy("__h", "doc_id").limit(most).drop("__h")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -64,6 +65,8 @@ def fit(sample: DataFrame, featurise: Callable[[list[bytes | None]], list[np.nda
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     rows = sample.select("doc_id", "text", *columns).mapInArrow(features, f"doc_id long, x binary, {names}")
+    # One row for each id, so that an id repeated without end stays one.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", *columns)).alias("r")).select("doc_id", "r.*")
     found = rows.repartition(1).mapInArrow(fitted, "model binary").collect()
     return pickle.loads(found[0].model) if found else None
 
