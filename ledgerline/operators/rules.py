@@ -47,6 +47,7 @@ def _not_negative(table: str, column: str, name: str) -> Rule:
     return Rule(table, name, f"{column} is at least 0", f"{column} >= 0")
 
 
+# Tables, names, severities and bounds of the rules.
 RULES: tuple[Rule, ...] = (
     _present("orders", "order_id"),
     _present("orders", "customer_id"),

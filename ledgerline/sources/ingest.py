@@ -38,6 +38,7 @@ class Entity:
     csv: Mapping[str, str] = field(default_factory=dict)
 
 
+# The files' columns, and the misspellings in two of them.
 _SIZES = ("product_name_length", "product_description_length", "product_photos_qty", "product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm")
 ENTITIES = {
     e.name: e
