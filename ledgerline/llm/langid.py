@@ -21,6 +21,8 @@ ties go to the language first in order; repeated rows are predicted alike.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,28 +46,35 @@ STEPS = 12
 FLOOR = 25.0
 UND = "und"
 _LETTERS = regex.compile(r"\p{L}+")
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _ASCII = bytes.maketrans(bytes(b for b in range(128) if not chr(b).isalpha()), b" " * sum(not chr(b).isalpha() for b in range(128)))
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    """Lower-cased runs of letters."""
+    """Lower-cased words: what lies between ASCII characters that aren't letters;
+    of a text without ASCII letters, its runs of letters."""
     if not text:
         return []
-    if text.isascii():
-        return text.translate(_ASCII).lower().split()
-    return [w.encode() for w in _LETTERS.findall(text.decode().lower())]
-
-
-def grams(word: bytes) -> np.ndarray:
-    """Slots of a word's letter n-grams, one to three letters, with edges."""
-    raw = b"\x00" + word + b"\x00"
-    x = np.frombuffer(raw, dtype=np.uint8).astype(U64)
-    parts = [x[1:-1] + U64(1 << 8)]
-    if len(x) >= 2:
-        parts.append((x[:-1] << U64(8) | x[1:]) + U64(1 << 24))
-    if len(x) >= 3:
-        parts.append((x[:-2] << U64(16) | x[1:-1] << U64(8) | x[2:]) + U64(1 << 32))
-    return (mix64(np.concatenate(parts)) >> U64(64 - BITS)).astype(np.int32)
+    if _ASCII_LETTER.search(text) is None:
+        return [w.encode() for w in _LETTERS.findall(text.decode().lower())]
+    low = text.lower() if text.isascii() else text.decode().lower().encode()
+    return low.translate(_ASCII).split()
+
+
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, index of its word) of all letter n-grams of words, one to three
+    letters, with edges: 3 n + 1 of them for a word of n letters."""
+    x = np.frombuffer(b"\x00" + b"\x00".join(words) + b"\x00", dtype=np.uint8).astype(U64)
+    letter = x != 0
+    owner = np.cumsum(~letter) - 1
+    at = np.flatnonzero(letter)
+    two = np.where(letter[:-1], owner[:-1], owner[1:])
+    parts = [
+        x[at] + U64(1 << 8),
+        (x[:-1] << U64(8) | x[1:]) + U64(1 << 24),
+        (x[at - 1] << U64(16) | x[at] << U64(8) | x[at + 1]) + U64(1 << 32),
+    ]
+    return (mix64(np.concatenate(parts)) >> U64(64 - BITS)).astype(np.int32), np.concatenate([owner[at], two, owner[at]])
 
 
 def fit_languages(rows: DataFrame, most: int = TRAINING_ROWS) -> tuple[list[str], np.ndarray] | None:
@@ -77,22 +86,25 @@ def fit_languages(rows: DataFrame, most: int = TRAINING_ROWS) -> tuple[list[str]
     sample = marked.join(F.broadcast(staged(ids.select("doc_id"))), "doc_id")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
-        known: dict[bytes, np.ndarray] = {}
+        seen: dict[str, Counter] = {}
+        held: dict[str, np.ndarray] = {}
+
+        def settle() -> None:
+            for lang, words in seen.items():
+                slot, of = grams(list(words))
+                times = np.fromiter(words.values(), dtype=np.float64, count=len(words))
+                held[lang] = held.get(lang, 0) + np.bincount(slot, weights=times[of], minlength=1 << BITS)
+            seen.clear()
+
         for batch in batches:
             for piece, texts in pieces(batch):
                 for lang, text in zip(piece.column(piece.schema.get_field_index("lang")).to_pylist(), texts, strict=True):
-                    held = counts.setdefault(lang, np.zeros(1 << BITS, dtype=np.int64))
-                    for word in words_of(text):
-                        at = known.get(word)
-                        if at is None:
-                            if len(known) > 200_000:
-                                known.clear()
-                            known[word] = at = grams(word)
-                        np.add.at(held, at, 1)
-        for lang, held in counts.items():
-            at = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(held[at], pa.int64())], ["lang", "slot", "n"])
+                    if words := words_of(text):
+                        seen.setdefault(lang, Counter()).update(words)
+                settle()
+        for lang, counts in held.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at].astype(np.int64), pa.int64())], ["lang", "slot", "n"])
 
     summed = sample.select("text", "lang").mapInArrow(counted, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     table = summed.toArrow()
@@ -127,12 +139,10 @@ class WordScores(WordIds):
             self.scores = np.empty((0, len(self.models)))
         ids = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         if self._new:
-            slots = [grams(w) for w in self._new]
-            cuts = np.concatenate([[0], np.cumsum([len(s) for s in slots])[:-1]])
-            flat = np.concatenate(slots)
+            slot, of = grams(self._new)
             # The mean over a word's n-grams, times its letters: n-grams overlap.
-            size = np.array([len(w) + 1 for w in self._new], dtype=float) / [len(s) for s in slots]
-            new = np.add.reduceat(self.models[:, flat].astype(np.float64), cuts, axis=1) * size
+            n = np.fromiter(map(len, self._new), dtype=np.float64, count=len(self._new))
+            new = np.array([np.bincount(of, weights=m[slot], minlength=len(n)) for m in self.models]) * ((n + 1) / (3 * n + 1))
             new = np.maximum(new - new.max(axis=0), -FLOOR)
             self.scores = np.vstack([self.scores, new.T])
             self._new = []
@@ -142,16 +152,16 @@ class WordScores(WordIds):
 def mixtures(score: np.ndarray, of: np.ndarray, n: int, allowed: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """(proportions [n x languages], log-likelihood) by expectation-maximisation,
     for words (rows of ``score``, sorted by ``of``) of ``n`` documents."""
-    like = np.exp(score)
+    like = np.exp(np.ascontiguousarray(score.T))  # a language's words lie together
     words = np.bincount(of, minlength=n).astype(float)
     starts = np.searchsorted(of, np.arange(n))
-    share = allowed / allowed.sum(axis=1, keepdims=True)
+    share = (allowed / allowed.sum(axis=1, keepdims=True)).T
     for _ in range(steps):
-        joint = like * share[of]
-        joint /= np.maximum(joint.sum(axis=1, keepdims=True), 1e-300)
-        share = np.add.reduceat(joint, starts, axis=0) / words[:, None]
-    fit = np.add.reduceat(np.log(np.maximum((like * share[of]).sum(axis=1), 1e-300)), starts)
-    return share, fit
+        joint = like * share[:, of]
+        joint /= np.maximum(joint.sum(axis=0), 1e-300)
+        share = np.add.reduceat(joint, starts, axis=1) / words
+    fit = np.add.reduceat(np.log(np.maximum((like * share[:, of]).sum(axis=0), 1e-300)), starts)
+    return share.T, fit
 
 
 def infer(score: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
