@@ -166,8 +166,11 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2020-01-01T00:00:
     """Write pages (page_id, url, html) as archives in ``folder``; returns the
     index (archive, start, length, page_id, record_type), a written table."""
     rows = _with_revisits(pages, broadcast_groups)
-    sample = pages.select(F.substring(column(pages, "html", "string"), 1, SAMPLE_BYTES).alias("html"), F.xxhash64(column(pages, "page_id", "long"), column(pages, "url", "string")).alias("h"))
-    sample = sample.filter("html IS NOT NULL").orderBy("h", "html").limit(SAMPLE_RECORDS).collect()
+    # The sample is chosen by narrow rows; what each task would offer of texts
+    # would all go to the driver.
+    hashed = pages.select(column(pages, "html", "string").alias("html"), F.xxhash64(column(pages, "page_id", "long"), column(pages, "url", "string")).alias("h")).filter("html IS NOT NULL")
+    chosen = staged(hashed.select("h").distinct().orderBy("h").limit(SAMPLE_RECORDS))
+    sample = hashed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min(F.substring("html", 1, SAMPLE_BYTES)).alias("html")).orderBy("h").collect()
     texts = [r.html.encode() for r in sample]
     heads = [record(i, None, t, len(t), hashlib.sha256(t).hexdigest(), None, date) for i, t in enumerate(texts)]
     dictionary = pages.sparkSession.sparkContext.broadcast(make_dictionary(heads))
