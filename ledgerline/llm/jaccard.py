@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow_tools import pieces
-from .common import U64, WordIds, column, documents, forget, mix64, written
+from .common import U64, WORD, WordIds, column, documents, forget, mix64, written
 
 #: Unless a contract says otherwise: five words, similarity 0.8.
 WIDTH, SIMILAR = 5, (80, 100)
@@ -300,7 +300,8 @@ def links(size: np.ndarray, marks: list[np.ndarray], sets: list[np.ndarray] | No
 # --- the operator ---------------------------------------------------------
 def _entries(num: int, den: int, width: int, fine: int):
     """Text rows -> rows (p, a, b, n, s) of packed arrays: p >= 0: tile keys and
-    set ids; p < 0: ids of documents, set ids, sizes (-1 - n: null id), bitmaps."""
+    set ids; p < 0: ids of documents and then hashes of their texts, set ids, sizes
+    (-1 - n: null id), bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -312,8 +313,9 @@ def _entries(num: int, den: int, width: int, fine: int):
                 doc_id = piece.column(0)
                 null = np.array(doc_id.is_null().to_pylist(), dtype=bool)
                 docs = doc_id.fill_null(0).to_numpy(zero_copy_only=False).astype(_I64)
+                texts_of = piece.column(2).to_numpy(zero_copy_only=False).astype(_I64)
                 turn += 1
-                p, a, b, c = [-1 - turn % fine], [docs.tobytes()], [ids.tobytes()], [np.where(null, -1 - sizes, sizes).astype(_I64).tobytes()]
+                p, a, b, c = [-1 - turn % fine], [docs.tobytes() + texts_of.tobytes()], [ids.tobytes()], [np.where(null, -1 - sizes, sizes).astype(_I64).tobytes()]
                 s = [signatures(hashes, sizes).tobytes()]
                 # Copies within a piece are entered once.
                 _, once = np.unique(ids, return_index=True)
@@ -339,10 +341,10 @@ def _entries(num: int, den: int, width: int, fine: int):
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed rows -> rows (kind, u, v, n, s): 0: tile and set id; 1: document id,
-    set id, size and bitmap."""
+    """Packed rows -> rows (kind, u, v, n, s, h): 0: tile and set id; 1: document id,
+    set id, size, bitmap and hash of the text."""
     keys, nodes = [], []
-    names = ["kind", "u", "v", "n", "s"]
+    names = ["kind", "u", "v", "n", "s", "h"]
     for batch in batches:
         for p, a, b, n, s in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if p >= 0:
@@ -354,11 +356,12 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.where(null, -1 - size, size)
             stops = (8 * np.cumsum(signature_words(size))).tolist()
             marks = pa.array([s[x:y] for x, y in zip([0, *stops[:-1]], stops, strict=True)], pa.binary())
-            docs = pa.array(np.frombuffer(a, dtype=_I64), pa.int64(), mask=null)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(size)), pa.int32()), docs, pa.array(np.frombuffer(b, dtype=_I64), pa.int64()), pa.array(size, pa.int64()), marks], names)
+            own = np.frombuffer(a, dtype=_I64)
+            docs = pa.array(own[: len(size)], pa.int64(), mask=null)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(size)), pa.int32()), docs, pa.array(np.frombuffer(b, dtype=_I64), pa.int64()), pa.array(size, pa.int64()), marks, pa.array(own[len(size) :], pa.int64())], names)
     if keys:
         u, v = shared_tiles(np.concatenate(keys), np.concatenate(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(u)), pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(u)), pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.binary()), pa.nulls(len(u), pa.int64())], names)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -474,22 +477,21 @@ def _tiles(members: DataFrame, num: int, den: int, most: int) -> DataFrame:
     return whole.unionByName(cut)
 
 
-def join(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, entries_per_task: int = ENTRIES_PER_TASK, shingles_per_tile: int = SHINGLES_PER_TILE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_id): each row's class of equal sets,
-    and the smallest doc_id that it reaches by links. ``docs`` needs doc_id and
-    text; other columns are left out."""
+def _rooted(docs: DataFrame, width: int, similar: tuple[int, int], entries_per_task: int = ENTRIES_PER_TASK, shingles_per_tile: int = SHINGLES_PER_TILE) -> DataFrame:
+    """(doc_id, h, set_id, n, root) of each row, a written table: the hash of its
+    text, its class of equal sets, and the class that names its component."""
     num, den = similar
     if not 0 < num <= den:
         raise ValueError("similarity must be above 0, and 1 at most")
     spark = docs.sparkSession
-    rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
+    rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text")).withColumn("h", F.xxhash64("text"))
     # A text has about a word in six bytes, and a band's tiles are about
     # (1 - t) / t of its shingles, with what the neighbouring band adds.
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 6 * 2 * (den - num) / num / entries_per_task))
     packed = rows.mapInArrow(_entries(num, den, width, 4 * tasks), "p int, a binary, b binary, n binary, s binary")
-    met = written(packed.repartition(tasks, "p").mapInArrow(_gathered, "kind int, u long, v long, n long, s binary"), "sets")
-    members = met.filter("kind = 1").select(F.col("u").alias("doc_id"), F.col("v").alias("set_id"), "n")
+    met = written(packed.repartition(tasks, "p").mapInArrow(_gathered, "kind int, u long, v long, n long, s binary, h long"), "sets")
+    members = met.filter("kind = 1").select(F.col("u").alias("doc_id"), "h", F.col("v").alias("set_id"), "n")
 
     # Bitmaps go to the tiles; of a class of equal sets, one.
     marks = met.filter("kind = 1 AND n > 0").select(F.col("v").alias("set_id"), "n", "s").dropDuplicates(["set_id"])
@@ -510,9 +512,17 @@ def join(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR
     verified = held.repartition("tile").sortWithinPartitions("tile").mapInArrow(_verified(num, den), "u long, v long")
 
     reached = components(verified)
-    of = members.join(reached, F.col("set_id") == F.col("node"), "left").select("doc_id", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
+    of = members.join(reached, F.col("set_id") == F.col("node"), "left").select("doc_id", "h", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
     of = written(of, "members")
     forget(spark, met, wanted, reached)
+    return of
+
+
+def join(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, entries_per_task: int = ENTRIES_PER_TASK, shingles_per_tile: int = SHINGLES_PER_TILE) -> DataFrame:
+    """(doc_id, n_shingles, component_id, set_id): each row's class of equal sets,
+    and the smallest doc_id that it reaches by links. ``docs`` needs doc_id and
+    text; other columns are left out."""
+    of = _rooted(docs, width, similar, entries_per_task, shingles_per_tile)
     # Only classes of more than one row have anything to look up.
     least = of.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("root", "least")
     out = of.join(least.withColumnRenamed("root", "__root"), (F.col("root") == F.col("__root")) & (F.col("n") > 0), "left")
@@ -520,19 +530,24 @@ def join(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """``docs``, all columns kept, with one document of each group of near copies:
-    that of the smallest id. Of rows equal in id and text one stays. Rows without
-    an id are no one's copy and stay."""
+    """``docs``, all columns kept, with one row of each group of near copies: that
+    of the smallest id, null last. A wordless text is no one's copy; of wordless
+    rows equal in id and text one stays, those without an id stay all."""
     names = docs.columns
-    groups = join(docs, width, similar)
-    goes = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__goes")).distinct()
-    text = column(docs, "text", "string")
-    rows = docs.withColumns({"__id": column(docs, "doc_id", "long"), "__hash": F.xxhash64(text)})
-    left = rows.join(goes, F.col("__id") == F.col("__goes"), "left_anti")
-    # A row without an id is alone; of others, Spark keeps one before the shuffle.
-    left = left.withColumn("__alone", F.when(F.col("__id").isNull(), F.monotonically_increasing_id()))
-    nth = F.row_number().over(Window.partitionBy("__id", "__hash", "__alone").orderBy(F.lit(1)))
-    return left.withColumn("__nth", nth).filter("__nth = 1").select(*[F.col(f"`{c}`") for c in names])
+    id_, text = column(docs, "doc_id", "long"), column(docs, "text", "string")
+    # A row is known by its id and the hash of its text; the least of a component stays.
+    key = F.struct(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("h").alias("__hash"))
+    stays = _rooted(docs, width, similar).filter("n > 0").groupBy("root").agg(F.min(key).alias("r")).select("r.*", F.lit(True).alias("__stays"))
+    wordless = ~F.coalesce(text.rlike(WORD), F.lit(False))
+    # A wordless row without an id is alone: it has a key (null, 1, its own number),
+    # where others have (null, 0, hash). Of equal keys Spark keeps one row before the
+    # shuffle; the join is dealt by the same columns, so no second one follows.
+    rows = docs.withColumns({"__none": id_.isNull(), "__wordless": wordless}).withColumn("__alone", F.col("__none") & F.col("__wordless"))
+    rows = rows.withColumn("__id", F.coalesce(id_, F.col("__alone").cast("long")))
+    rows = rows.withColumn("__hash", F.when(F.col("__alone"), F.monotonically_increasing_id()).otherwise(F.xxhash64(text)))
+    own = ["__none", "__id", "__hash"]
+    once = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(1)))).filter("__nth = 1")
+    return once.join(stays, own, "left").filter("__wordless OR __stays").select(*[F.col(f"`{c}`") for c in names])
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

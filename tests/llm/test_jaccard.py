@@ -73,6 +73,15 @@ def test_one_document_of_each_group_stays(spark):
     assert kept == sorted({d for d, _, c in brute(docs, 5, 80, 100) if d is not None and d == c})
 
 
+def test_rows_of_repeated_and_null_ids_are_judged_one_by_one(spark):
+    r = random.Random(9)
+    a, b, c, d, e, f = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(6))
+    rows = [(1, a, "stays"), (2, a, ""), (2, b, "stays"), (2, f + " tail", ""), (1, f, "stays"), (5, c, "c"), (5, c + " tail", "c"), (None, d, "d"), (None, d, "d"), (None, d + " tail", "d"), (None, e, ""), (6, e, "stays")]
+    rows += [(None, None, "stays"), (None, None, "stays"), (None, " \t", "stays"), (7, "", "7"), (7, "", "7"), (0, None, "stays")]
+    out = jaccard.keep_one(spark.createDataFrame(rows, f"{DOCS}, fate string"))
+    assert sorted(x.fate for x in out.collect()) == ["7", "c", "d", *["stays"] * 8]
+
+
 def test_an_empty_table(spark):
     assert jaccard.join(spark.createDataFrame([], DOCS)).count() == 0
 
