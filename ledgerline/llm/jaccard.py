@@ -144,10 +144,15 @@ def tile_keys(hashes: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tupl
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     mixed = mix64(hashes ^ U64(0xD6E8FEB86659FD93))
     keys, of = [], []
-    for back in range(4):
-        band = own - back
+    band = own + 1
+    while True:
+        # The next band below, as long as its largest set can link with this one.
+        band = band - 1
         takes = (band >= 0) & (sizes > 0)
-        takes[takes] &= (segments[band[takes]] > 0) & (sizes[takes] * num <= high[band[takes]] * den)
+        takes[takes] &= sizes[takes] * num <= high[band[takes]] * den
+        if not takes.any():
+            break
+        takes[takes] &= segments[band[takes]] > 0
         if not takes.any():
             continue
         which = np.flatnonzero(takes)

@@ -99,6 +99,17 @@ def test_linking_sets_share_a_tile():
                 assert set(keys[of == 0].tolist()) & set(keys[of == 1].tolist())
 
 
+def test_sets_of_very_different_sizes_share_a_tile_at_low_thresholds():
+    r = np.random.default_rng(6)
+    for num, den, small, large in ((25, 100, 7, 28), (29, 100, 61, 210), (5, 100, 20, 400), (1, 100, 3, 300)):
+        base = np.unique(r.integers(0, 2**63, large, dtype=np.uint64) * np.uint64(2))
+        for _ in range(20):
+            part = np.sort(r.choice(base, small, replace=False))
+            assert small * den >= num * large
+            keys, of = jaccard.tile_keys(np.concatenate([part, base]), np.array([small, large]), num, den)
+            assert set(keys[of == 0].tolist()) & set(keys[of == 1].tolist())
+
+
 def test_bitmaps_bound_the_overlap_from_above():
     r = np.random.default_rng(2)
     for _ in range(200):
