@@ -15,7 +15,8 @@ those of the largest inner product; that distance is a metric, so trees apply.
 Queries are searched in blocks, a block and a tree at a time: matrix products
 find candidates, with a margin for rounding; the score of what is returned is
 summed for each pair by itself, so equal vectors score equal and ties are settled
-by id. Every row is indexed.
+by id. Every row is indexed; rows alike in id and vector are one entry with their
+number.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite
 components, and rows of a null id, take no part; vectors of another length than
@@ -54,9 +55,9 @@ def _usable(v: Column) -> Column:
 
 
 class Tree:
-    """A vantage-point tree over rows (id, vector)."""
+    """A vantage-point tree over rows (id, vector), each of them ``times`` rows."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF_ROWS) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF_ROWS, times: np.ndarray | None = None) -> None:
         norm2 = (vectors * vectors).sum(axis=1)
         self.longest2 = float(norm2.max())
         lifted = np.column_stack([vectors, np.sqrt(np.maximum(self.longest2 - norm2, 0.0))])
@@ -91,6 +92,7 @@ class Tree:
         build(order)
         kept = np.concatenate(place)
         self.ids, self.vectors = ids[kept], np.ascontiguousarray(vectors[kept])
+        self.times = np.ones(len(kept), dtype=np.int64) if times is None else times[kept]
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, relax: float = RELAX) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """(query, id, score) of the k nearest of each query, the shard's own, in
@@ -165,6 +167,11 @@ class Tree:
         score = np.concatenate([exact(queries[q[i : i + 100_000]], self.vectors[p[i : i + 100_000]]) for i in range(0, len(q), 100_000)])
         order = np.lexsort((self.ids[p], -score, q))
         q, p, score = q[order], p[order], score[order]
+        # The k nearest rows are rows of the k nearest entries.
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        q, p, score = q[rank < k], p[rank < k], score[rank < k]
+        times = np.minimum(self.times[p], k)
+        q, p, score = (np.repeat(x, times) for x in (q, p, score))
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         return q[rank < k], self.ids[p][rank < k], score[rank < k], scored
 
@@ -179,18 +186,18 @@ def _matrix(held: list) -> np.ndarray:
 
 
 def _build(table: pa.Table) -> pa.Table:
-    tree = Tree(table.column("vec_id").to_numpy(), _matrix(table.column("v").to_pylist()))
+    tree = Tree(table.column("vec_id").to_numpy(), _matrix(table.column("v").to_pylist()), times=table.column("n").to_numpy())
     return pa.table({"dim": table.column("dim")[:1], "shard": table.column("shard")[:1], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
 
-def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, k: int = NEIGHBOURS) -> tuple[DataFrame, int]:
+def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
     """(dim, shard, tree) of all usable rows (vec_id, embedding), and the number
-    of shards. A shard has about ``shard_rows`` rows, by a hash of the id and the
-    vector. Of rows that are alike in both, ``k`` are indexed: no search for k
-    neighbours can return more of them."""
+    of shards. A shard has about ``shard_rows`` entries, by a hash of the id and the
+    vector. Rows that are alike in both are one entry, which keeps their number, so
+    that a search for any number of neighbours returns as many as there are."""
     rows = vectors.select(column(vectors, "vec_id", "long").alias("vec_id"), column(vectors, "embedding", "array<double>").alias("v"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & _usable(F.col("v"))).groupBy("vec_id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n"))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("vec_id", "v", F.size("v").alias("dim"))
+    rows = rows.filter(F.col("vec_id").isNotNull() & _usable(F.col("v"))).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("dim", F.size("v"))
     shards = max(1, math.ceil(rows.count() / shard_rows))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
     return staged(dealt.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, tree binary")), shards

@@ -42,6 +42,15 @@ def test_exact_search_is_brute_force(spark):
     assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12)
 
 
+def test_a_search_for_more_neighbours_than_usual_finds_all_rows_that_are_alike(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [2.0, 0.0])] * 45 + [(2, [1.0, 1.0])] * 3 + [(3, [0.5, 0.0])] * 9
+    df = spark.createDataFrame(rows, VECTORS)
+    index, shards = ann.build_index(df)
+    for k in (50, 30, 5, 100):
+        got = ann.search(index, shards, df.filter("vec_id = 0"), k=k).orderBy("rank").collect()
+        assert [(r["rank"], r.vec_id) for r in got] == [(n + 1, i) for n, i in enumerate([*[1] * 45, *[2] * 3, *[3] * 9][:k])]
+
+
 def test_relaxing_prunes_and_recall_stays(spark):
     r = np.random.default_rng(1)
     x = np.repeat(r.normal(size=(40, 4)), 60, axis=0) + r.normal(size=(2400, 4)) * 0.05
