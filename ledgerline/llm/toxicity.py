@@ -9,8 +9,8 @@ they can be trusted on new texts.
 A linear model is a logistic regression over the distinct letter-words of a text
 (lower-cased, marks stripped, hashed) and their beginnings, that takes in words one by one, as long as
 one explains more than chance would (``fit_linear``). A word counts only if at
-least ``MIN_ROWS`` training rows have it; the ``TOP`` strongest words of a text
-count, so that a long text full of faint hints isn't toxic by their sum.
+least ``MIN_ROWS`` training rows have it. All words of a text count, at fitting
+and at scoring alike.
 
 The categories' labels are SQL over the columns of ``labels``; the last one is
 the verdict. A category without rows of both kinds gets a constant.
@@ -44,8 +44,6 @@ AGAIN, AGAIN_PER_1000 = (2, 3, 5), 3
 FOLDS = 4
 #: Rows that must hold a word for it to count.
 MIN_ROWS = 4
-#: Words of a text that count for a category, by weight.
-TOP = 12
 #: Part of a word's Newton step that is taken; small, so that words which stand
 #: together share what they explain.
 RATE = 0.2
@@ -128,7 +126,7 @@ class _Featuriser:
 
 @dataclass
 class Linear:
-    """log-odds = bias + sum of the strongest words' weights + earlier @ log-odds."""
+    """log-odds = bias + sum of the words' weights + earlier @ log-odds."""
 
     at: np.ndarray  # slots that have a weight, sorted
     weight: np.ndarray
@@ -144,14 +142,8 @@ class Linear:
 
     def predict(self, xs: list[np.ndarray], before: np.ndarray, bits: int = BITS) -> np.ndarray:
         table = self.table(1 << bits)
-        out = np.full(len(xs), self.bias)
-        for i, x in enumerate(xs):
-            w = table[x]
-            w = w[w != 0]
-            if len(w) > TOP:
-                w = w[np.argpartition(-np.abs(w), TOP)[:TOP]]
-            out[i] += w.sum(dtype=np.float64)
-        return sigmoid(out + before @ self.earlier)
+        words = np.array([table[x].sum(dtype=np.float64) for x in xs])
+        return sigmoid(self.bias + words + before @ self.earlier)
 
 
 def log_odds(p: np.ndarray) -> np.ndarray:

@@ -95,6 +95,12 @@ def test_toxic_documents_are_caught_and_clean_ones_left(spark, marked):
     assert kept.columns == docs.columns and kept.count() == sum(not r.toxic for r in out)
 
 
+def test_every_word_of_a_text_counts_as_it_was_fitted():
+    model = toxicity.Linear(np.arange(40, dtype=np.int32), np.repeat([0.5, -0.6], 20).astype(np.float32), np.zeros(0), -8.0)
+    xs = [np.arange(20, dtype=np.int32), np.arange(40, dtype=np.int32), np.arange(50, 60, dtype=np.int32), np.empty(0, dtype=np.int32)]
+    assert np.allclose(model.predict(xs, np.empty((4, 0)), bits=6), linear.sigmoid(np.array([2.0, -10.0, -8.0, -8.0])), rtol=1e-6)
+
+
 def test_without_labels_no_one_is_judged(spark):
     docs = spark.createDataFrame([(1, "words")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
