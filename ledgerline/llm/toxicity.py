@@ -49,6 +49,8 @@ MIN_ROWS = 4
 RATE = 0.2
 #: Log-likelihood that a word must gain to take a step.
 LEAST_GAIN = 1.5
+#: Steps for each word, on average, after which a fit is held to have no end.
+STEPS_PER_WORD = 200
 #: Texts whose last category is at least this likely are rejected.
 REJECT = 0.5
 
@@ -150,14 +152,15 @@ def log_odds(p: np.ndarray) -> np.ndarray:
     return np.log(np.clip(p, 1e-4, 1 - 1e-4) / np.clip(1 - p, 1e-4, 1 - 1e-4))
 
 
-def fit_linear(xs: list[np.ndarray], before: np.ndarray, y: np.ndarray, bits: int = BITS, steps: int = 500) -> Linear:
+def fit_linear(xs: list[np.ndarray], before: np.ndarray, y: np.ndarray, bits: int = BITS) -> Linear:
     """A category's model from rows of features, earlier log-odds and labels.
 
     Forward stagewise: the bias and the earlier categories' coefficients take a
     Newton step, then the word whose own step gains most likelihood. It ends when
     no word gains more than chance would. So rows that a few words explain lend no
     weight to the other words that stand beside these (the rest of a copied text,
-    or a language of which only rows of one label are known)."""
+    or a language of which only rows of one label are known). A fit that does not
+    end within ``STEPS_PER_WORD`` steps for each word is an error."""
     ones, n = float(y.sum()), len(y)
     if not 0 < ones < n:
         return Linear(np.empty(0, dtype=np.int32), np.empty(0, dtype=np.float32), np.zeros(before.shape[1]), 35.0 if ones else -35.0)
@@ -181,7 +184,7 @@ def fit_linear(xs: list[np.ndarray], before: np.ndarray, y: np.ndarray, bits: in
     ridge = np.concatenate([[1e-3], np.full(before.shape[1], 1.0)])
     beta = np.concatenate([[np.log(share / (1 - share))], np.zeros(before.shape[1])])
     words = np.zeros(n)
-    for _ in range(steps):
+    for step_no in range(STEPS_PER_WORD * len(some) + 1):
         for _ in range(25):
             p = sigmoid(words + dense @ beta)
             slope = (dense * (p * (1 - p))[:, None]).T @ dense + np.diag(ridge)
@@ -198,6 +201,8 @@ def fit_linear(xs: list[np.ndarray], before: np.ndarray, y: np.ndarray, bits: in
         j = int(gain.argmax())
         if gain[j] < LEAST_GAIN:
             break
+        if step_no == STEPS_PER_WORD * len(some):
+            raise RuntimeError(f"words still gain after {step_no} steps over {len(some)} words")
         step = float(np.clip(RATE * g[j] / h[j], -1.0, 1.0))
         w[j] += step
         words += np.bincount(row[col == j], minlength=n) * step

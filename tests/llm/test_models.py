@@ -101,6 +101,27 @@ def test_every_word_of_a_text_counts_as_it_was_fitted():
     assert np.allclose(model.predict(xs, np.empty((4, 0)), bits=6), linear.sigmoid(np.array([2.0, -10.0, -8.0, -8.0])), rtol=1e-6)
 
 
+def many_words(words=150, each=10):
+    xs = [np.array([w], dtype=np.int32) for w in range(words) for _ in range(each)] + [np.empty(0, dtype=np.int32)] * (3 * words * each)
+    return xs, np.repeat([1.0, 0.0], [words * each, 3 * words * each])
+
+
+def test_words_are_taken_in_until_none_gains():
+    xs, y = many_words()
+    model = toxicity.fit_linear(xs, np.empty((len(xs), 0)), y, bits=10)
+    p = model.predict(xs, np.empty((len(xs), 0)), bits=10)
+    some = [len(x) > 0 for x in xs]
+    g, h = np.bincount(np.concatenate(xs), weights=(y - p)[some]), np.bincount(np.concatenate(xs), weights=(p * (1 - p))[some]) + 1.0
+    assert len(model.at) == 150 and (g * g / (2 * h)).max() < toxicity.LEAST_GAIN
+
+
+def test_a_fit_that_is_cut_short_is_an_error(monkeypatch):
+    xs, y = many_words(20)
+    monkeypatch.setattr(toxicity, "STEPS_PER_WORD", 1)
+    with pytest.raises(RuntimeError, match="still gain"):
+        toxicity.fit_linear(xs, np.empty((len(xs), 0)), y, bits=10)
+
+
 def test_without_labels_no_one_is_judged(spark):
     docs = spark.createDataFrame([(1, "words")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
