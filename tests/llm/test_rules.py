@@ -64,6 +64,15 @@ def test_ledger_policies_and_ablations(spark):
     assert quality_rules.ledger(df.limit(0)).count() == 0
 
 
+def test_few_distinct_words_fail_at_every_length(spark):
+    r = random.Random(11)
+    rows = [(n, " ".join(f"w{r.randrange(80)}" for _ in range(n))) for n in (1999, 2000, 2001, 20_000, 60_000)]
+    rows += [(-n, " ".join(f"w{k % d}" for k in r.sample(range(n), n))) for n, d in ((1999, 100), (2000, 100), (20_000, 317))]
+    marked = quality_rules.ledger(spark.createDataFrame(rows, "doc_id long, text string"))
+    bit = 1 << [x.name for x in quality_rules.RULES].index("few_distinct_words")
+    assert {x.doc_id: bool(x.failed & bit) for x in marked.collect()} == {n: n > 0 for n, _ in rows}
+
+
 def test_pipeline_stages_are_their_operators_in_order(spark, tmp_path):
     r = random.Random(5)
     rows = []
