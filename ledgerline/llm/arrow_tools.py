@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Text bytes that an operator works on at a time, within an Arrow batch.
-PIECE_BYTES = 8_000_000
+#: Text bytes that an operator works on at a time, within an Arrow batch: what a
+#: worker holds follows from this and from its longest text.
+PIECE_BYTES = 1_000_000
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
@@ -19,26 +21,30 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
 
 
 def pieces(batch: pa.RecordBatch, name: str = "text", most: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """The batch in slices of about ``most`` bytes of text, one row at least."""
-    held = texts(batch, name)
-    start, size = 0, 0
-    for i, text in enumerate(held):
-        size += len(text) if text else 0
-        if size >= most:
-            yield batch.slice(start, i + 1 - start), held[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(held):
-        yield batch.slice(start), held[start:]
-
-
-def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, list[bytes | None]], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """``make()``'s function over every piece of ``df``, which has a column
-    ``text``; ``make`` runs once per task, so what it holds lives as long."""
+    """The batch in slices of about ``most`` bytes of text, one row at least; only
+    a slice's texts are Python objects."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_pylist()
+    start = size = 0
+    for i, n in enumerate(sizes):
+        # A long text is a piece of its own.
+        if i > start and size + n > most:
+            piece = batch.slice(start, i - start)
+            yield piece, texts(piece, name)
+            start, size = i, 0
+        size += n
+    if start < len(sizes):
+        piece = batch.slice(start)
+        yield piece, texts(piece, name)
+
+
+def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, list[bytes | None]], pa.RecordBatch | None]], schema: str, most: int = PIECE_BYTES) -> DataFrame:
+    """``make()``'s function over every piece of ``df``, of about ``most`` bytes of
+    its column ``text``; ``make`` runs once per task, so what it holds lives as long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for piece, held in pieces(batch):
+            for piece, held in pieces(batch, most=most):
                 out = work(piece, held)
                 if out is not None and out.num_rows:
                     yield out

@@ -42,6 +42,8 @@ from .common import column, documents
 REMEMBERED = 200_000
 #: Stretches longer than this many characters aren't remembered.
 LONGEST_REMEMBERED = 64
+#: Text bytes that one queue serves; arrays of eight numbers each stand for a byte.
+QUEUE_BYTES = 2_000_000
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -343,7 +345,7 @@ def _coded(docs: DataFrame, path: str, pattern: str, digest: bool) -> DataFrame:
         return work
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded binary"
-    return map_texts(rows, make, schema)
+    return map_texts(rows, make, schema, QUEUE_BYTES)
 
 
 def vocabulary(name: str = RANKS) -> tuple[str, str]:

@@ -22,6 +22,7 @@ is 0; repeated rows score alike; whole texts are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,14 +33,17 @@ from pyspark.sql import functions as F
 
 from .arrow_tools import map_texts
 from .common import U64, WordIds, column, documents, mix64
-from .linear import TRAINING_ROWS, fit, sigmoid, slots, training_rows, unique_per_text
+from .linear import TRAINING_ROWS, fit, sigmoid, slots, training_rows
 
 BITS = 20
 #: Lengths in bytes of the beginnings of words that are features as well.
 STEMS = (4, 5, 7)
-#: A word or beginning found this often in a text is a further feature, if there
-#: are at least so many of it in 1000 words.
-AGAIN, AGAIN_PER_1000 = (2, 3, 5), 3
+#: A word or beginning that comes k times within APART * k words, anywhere in a
+#: text, is a further feature: a passage has the same ones in a longer text.
+AGAIN, APART = (2, 3, 5), 100
+REACH = APART * max(AGAIN)
+#: Text that is worked on at a time; a longer one is taken in overlapping spans.
+SPAN_BYTES = 500_000
 #: Folds of the out-of-fold predictions.
 FOLDS = 4
 #: Rows that must hold a word for it to count.
@@ -95,6 +99,21 @@ class StemIds(WordIds):
         return self._table[ids]
 
 
+def spans(text: bytes | None) -> Iterator[list[bytes]]:
+    """A text's letter-words in lists of about ``SPAN_BYTES``; each begins with the
+    last ``REACH - 1`` words of the one before, so that what stands within REACH
+    words stands together in one of them, however long the text is."""
+    clean = text.translate(_NO_LETTERS).lower() if text else b""
+    at, tail = 0, []
+    while at < len(clean):
+        end = clean.find(b" ", at + SPAN_BYTES)
+        end = len(clean) if end < 0 else end
+        words = tail + clean[at:end].split()
+        if words:
+            yield words
+        at, tail = end, words[-(REACH - 1) :]
+
+
 class Words:
     """Distinct hashed letter-words of texts, and their beginnings."""
 
@@ -102,21 +121,47 @@ class Words:
         self.bits, self.words = bits, StemIds()
 
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        split = [t.translate(_NO_LETTERS).lower().split() if t else [] for t in texts]
-        n = np.array([len(s) for s in split])
-        if not n.sum():
+        found, held, owners, size = [], [], [], 0
+        for i, text in enumerate(texts):
+            for words in spans(text):
+                held.append(words)
+                owners.append(i)
+                size += len(words)
+                if size >= SPAN_BYTES // 6:
+                    found.append(self._features(held, owners))
+                    held, owners, size = [], [], 0
+        if held:
+            found.append(self._features(held, owners))
+        if not found:
             return [np.empty(0, dtype=np.int32) for _ in texts]
-        h = self.words.hashes([w for s in split for w in s])
-        of = np.repeat(np.arange(len(n)), n)
-        key, times = np.unique((np.repeat(of, h.shape[1]) << self.bits) | slots(h.ravel(), self.bits), return_counts=True)
-        owner, slot = key >> self.bits, key & ((1 << self.bits) - 1)
-        # A beginning that comes again and again in a text is a feature of its own.
-        held, owners = [slot.astype(np.int32)], [owner]
-        for least in AGAIN:
-            often = (times >= least) & (1000 * times >= AGAIN_PER_1000 * n[owner])
-            held.append(slots(mix64(slot[often].astype(U64) * U64(8) + U64(least)), self.bits))
-            owners.append(owner[often])
-        return unique_per_text(np.concatenate(held), np.concatenate(owners), len(texts), self.bits)
+        key = np.unique(np.concatenate(found))
+        cuts = np.searchsorted(key >> self.bits, np.arange(len(texts) + 1)).tolist()
+        low = (key & ((1 << self.bits) - 1)).astype(np.int32)
+        return [low[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _features(self, spans: list[list[bytes]], owners: list[int]) -> np.ndarray:
+        """Distinct (owner, slot), as one number each."""
+        n = np.array([len(s) for s in spans])
+        h = self.words.hashes([w for s in spans for w in s])
+        width = h.shape[1]
+        at = np.repeat(np.arange(len(h), dtype=np.int32), width)
+        of = np.repeat(np.repeat(np.arange(len(n)), n), width)
+        key = (of << self.bits) | slots(h.ravel(), self.bits)
+        # A word that is no longer than its beginning has its own hash there; once counts.
+        first = np.ones((len(h), width), dtype=bool)
+        first[:, 1:] = h[:, 1:] != h[:, :1]
+        key, at = key[first.ravel()], at[first.ravel()]
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        out = [key[new]]
+        for k in AGAIN:
+            again = (key[k - 1 :] == key[: len(key) - k + 1]) & (at[k - 1 :] - at[: len(key) - k + 1] < APART * k)
+            often = np.unique(key[: len(key) - k + 1][again])
+            slot = slots(mix64((often & ((1 << self.bits) - 1)).astype(U64) * U64(8) + U64(k)), self.bits)
+            out.append((often >> self.bits << self.bits) | slot)
+        key = np.concatenate(out)
+        return (np.array(owners)[key >> self.bits] << self.bits) | (key & ((1 << self.bits) - 1))
 
 
 class _Featuriser:
@@ -165,9 +210,11 @@ def fit_linear(xs: list[np.ndarray], before: np.ndarray, y: np.ndarray, bits: in
     if not 0 < ones < n:
         return Linear(np.empty(0, dtype=np.int32), np.empty(0, dtype=np.float32), np.zeros(before.shape[1]), 35.0 if ones else -35.0)
     size = 1 << bits
-    flat, rows = np.concatenate(xs), np.repeat(np.arange(n), [len(x) for x in xs])
-    total = np.bincount(flat, minlength=size)
-    hits = np.bincount(flat[y[rows] > 0], minlength=size)
+    total, hits = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+    for x, label in zip(xs, y.tolist(), strict=True):  # a row's features are distinct
+        total[x] += 1
+        if label:
+            hits[x] += 1
     some = np.flatnonzero(total >= MIN_ROWS)
     # A word tells something if its split between the classes is unlikely by
     # chance (the likelihood ratio of its rows), for as many words as there are.
@@ -175,10 +222,10 @@ def fit_linear(xs: list[np.ndarray], before: np.ndarray, y: np.ndarray, bits: in
     share = ones / n
     part = lambda k, p: np.where(k > 0, k * np.log(np.maximum(k, 1) / np.maximum(seen * p, 1e-9)), 0.0)
     some = some[part(hit, share) + part(seen - hit, 1 - share) >= np.log(10.0 * max(len(some), 1))]
-    place = np.full(size, -1)
+    place = np.full(size, -1, dtype=np.int32)
     place[some] = np.arange(len(some))
-    held = place[flat] >= 0
-    col, row = place[flat[held]], rows[held]
+    cols = [c[c >= 0] for c in (place[x] for x in xs)]
+    col, row = np.concatenate(cols), np.repeat(np.arange(n), [len(c) for c in cols])
     w = np.zeros(len(some))
     dense = np.column_stack([np.ones(n), before])
     ridge = np.concatenate([[1e-3], np.full(before.shape[1], 1.0)])

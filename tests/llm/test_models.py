@@ -142,3 +142,38 @@ def test_a_sparse_dot_product():
     w = np.arange(10, dtype=np.float32)
     xs = [np.array([1, 2], dtype=np.int32), np.empty(0, dtype=np.int32), np.array([9], dtype=np.int32)]
     assert linear.sums(w, xs).tolist() == [3, 0, 9]
+
+
+def test_a_passage_has_the_same_features_in_a_longer_text():
+    r = random.Random(1)
+    passage = " ".join(r.choice(["venomous", "venomly", "venoming", "plain"]) for _ in range(40))
+    long = " ".join(prose(r, "aa", 3000) for _ in range(15))
+    words = toxicity.Words()
+    alone, inside = words([passage.encode(), f"{long} {passage} {long}".encode()])
+    assert len(long) > toxicity.SPAN_BYTES // 2 and set(alone.tolist()) <= set(inside.tolist())
+
+
+def test_spans_hold_every_stretch_of_words(monkeypatch):
+    monkeypatch.setattr(toxicity, "SPAN_BYTES", 60)
+    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000)).encode()
+    words, reach = text.split(), toxicity.REACH
+    held = list(toxicity.spans(text))
+    assert held[0] + [w for s in held[1:] for w in s[reach - 1 :]] == words or len(held[1]) < reach
+    windows = {tuple(s[i : i + reach]) for s in held for i in range(len(s) - reach + 1)}
+    assert windows == {tuple(words[i : i + reach]) for i in range(len(words) - reach + 1)}
+    assert not list(toxicity.spans(None)) and not list(toxicity.spans(b" 12 .. "))
+
+
+def test_a_long_text_takes_bounded_memory():
+    """Peak of one worker over 8 MB of new words, above what it begins with."""
+    import subprocess
+    import sys
+
+    code = (
+        "import resource, random\nfrom ledgerline.llm import toxicity\n"
+        "r = random.Random(0)\ntext = ' '.join(''.join(r.choice('abcdefghij') for _ in range(5)) for _ in range(1_350_000)).encode()\n"
+        "peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024\nwords, before = toxicity.Words(), peak()\n"
+        "words([text])\nprint(len(text), peak() - before)"
+    )
+    size, grown = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=None).stdout.split())
+    assert size > 8_000_000 and grown < 250
