@@ -35,12 +35,13 @@ def cast_numerics(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return df.withColumns(held) if held else df
 
 
-def latest_per_key(df: DataFrame, keys: Iterable[str], order_by: str | None = None, tiebreak: str | None = None) -> DataFrame:
-    """One row per key: the latest by ``order_by``, then by ``tiebreak``; a value
+def latest_per_key(df: DataFrame, keys: Iterable[str], order_by: str | None = None, tiebreak: str | Iterable[str] = ()) -> DataFrame:
+    """One row per key: the latest by ``order_by``, then by each ``tiebreak``; a value
     beats null. What ties even then is settled by the row's other columns, so the
     result does not depend on where rows lie."""
     keys = list(keys)
-    ranked = [c for c in (order_by, tiebreak) if c and c in df.columns]
+    then = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak or ())
+    ranked = [c for c in (order_by, *then) if c and c in df.columns]
     rest = [c for c in df.columns if c not in keys and c not in ranked]
     total: list[Column] = [F.col(c).desc_nulls_last() for c in ranked] + [F.col(c).asc_nulls_last() for c in rest]
     window = Window.partitionBy(*keys).orderBy(*(total or [F.lit(1)]))

@@ -16,10 +16,9 @@ from pyspark.sql.types import DecimalType
 
 from ..functions.columns import share
 from ..operators import checks, cleaning, rules, scd2, star
-from ..sources.adapters import Source
 from ..streaming import events
-from . import ops, views
-from .views import AS_OF, Star
+from . import ops, scenarios, views
+from .views import AS_OF, Mart
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,10 +137,10 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def query(name: str, sql: str | None = None):
-    """Register a function of a Star; ``sql`` follows the entities and the star."""
+    """Register a function of a Mart; ``sql`` follows the entities and the star."""
 
-    def take(make: Callable[[Star], DataFrame]) -> Callable[[Star], DataFrame]:
-        QUERIES[name] = lambda spark, folder: plain(make(Star(Source(spark, folder))))
+    def take(make: Callable[[Mart], DataFrame]) -> Callable[[Mart], DataFrame]:
+        QUERIES[name] = lambda spark, folder: plain(make(views.mart(spark, folder)))
         if sql is not None:
             ORACLE_SQL[name] = _WITH + sql
         return make
@@ -228,23 +227,23 @@ query("question_city_at_order_time", "SELECT v_city AS city, count(*) AS orders,
 )
 
 # --- dimensions and facts -------------------------------------------------
-query("dim_date", "SELECT * FROM dim_date")(lambda s: s.dim_date)
-query("dim_product", "SELECT product_id, category_pt, category, product_weight_g FROM dim_product")(lambda s: s.dim_product.select("product_id", "category_pt", "category", "product_weight_g"))
-query("dim_seller", "SELECT seller_id, seller_city, seller_state FROM c_sellers")(lambda s: s.dim_seller.select("seller_id", "seller_city", "seller_state"))
-query("dim_order_status", "SELECT DISTINCT order_status, order_status = 'delivered' AS is_completed, order_status IN ('canceled', 'unavailable') AS is_cancelled FROM c_orders")(lambda s: s.dim_order_status.drop("order_status_sk"))
-query("dim_payment_type", "SELECT DISTINCT payment_type, payment_type = 'credit_card' AS supports_installments FROM c_payments")(lambda s: s.dim_payment_type.drop("payment_type_sk"))
-query("dim_customer", f"SELECT * REPLACE ({_d('lifetime_value')} AS lifetime_value) FROM dim_customer")(lambda s: s.dim_customer.drop("customer_sk", "_row_hash"))
+query("dim_date", "SELECT * FROM dim_date")(lambda s: s.fresh("dim_date"))
+query("dim_product", "SELECT product_id, category_pt, category, product_weight_g FROM dim_product")(lambda s: s.fresh("dim_product").select("product_id", "category_pt", "category", "product_weight_g"))
+query("dim_seller", "SELECT seller_id, seller_city, seller_state FROM c_sellers")(lambda s: s.fresh("dim_seller").select("seller_id", "seller_city", "seller_state"))
+query("dim_order_status", "SELECT DISTINCT order_status, order_status = 'delivered' AS is_completed, order_status IN ('canceled', 'unavailable') AS is_cancelled FROM c_orders")(lambda s: s.fresh("dim_order_status").drop("order_status_sk"))
+query("dim_payment_type", "SELECT DISTINCT payment_type, payment_type = 'credit_card' AS supports_installments FROM c_payments")(lambda s: s.fresh("dim_payment_type").drop("payment_type_sk"))
+query("dim_customer", f"SELECT * REPLACE ({_d('lifetime_value')} AS lifetime_value) FROM dim_customer")(lambda s: s.fresh("dim_customer").drop("customer_sk", "_row_hash"))
 query("fact_order", f"""SELECT order_id, customer_unique_id, order_date_sk, delivered_date_sk, order_status, order_purchase_timestamp, order_approved_at, {_d('items_total')} AS items_total, {_d('freight_total')} AS freight_total, {_d('order_total')} AS order_total,
   items_count, distinct_sellers, {_d('approval_lag_hours')} AS approval_lag_hours, CAST(delivery_days AS INTEGER) AS delivery_days, CAST(delivery_delay_days AS INTEGER) AS delivery_delay_days, is_late, is_cancelled, is_delivered FROM fact_order""")(
-    lambda s: s.fact_order.drop("customer_sk", "order_status_sk", "order_delivered_customer_date", "order_estimated_delivery_date")
+    lambda s: s.fresh("fact_order").drop("customer_sk", "order_status_sk", "order_delivered_customer_date", "order_estimated_delivery_date")
 )
 query("fact_order_item", f"""SELECT order_id, order_item_id, order_date_sk, ship_limit_date_sk, category, quantity, {_d('item_price')} AS item_price, {_d('freight_value')} AS freight_value, {_d('item_revenue')} AS item_revenue, order_status, is_cancelled FROM fact_order_item""")(
-    lambda s: s.fact_order_item.drop("product_sk", "seller_sk", "customer_sk")
+    lambda s: s.fresh("fact_order_item").drop("product_sk", "seller_sk", "customer_sk")
 )
-query("fact_payment", f"SELECT order_id, payment_sequential, order_date_sk, payment_type, payment_installments, {_d('payment_value')} AS payment_value, order_completed FROM fact_payment")(lambda s: s.fact_payment.drop("payment_type_sk", "customer_sk"))
+query("fact_payment", f"SELECT order_id, payment_sequential, order_date_sk, payment_type, payment_installments, {_d('payment_value')} AS payment_value, order_completed FROM fact_payment")(lambda s: s.fresh("fact_payment").drop("payment_type_sk", "customer_sk"))
 
 # --- cleaning and business transforms -------------------------------------
-query("clean_dedupe_latest", f"SELECT * REPLACE ({_d('price')} AS price, {_d('freight_value')} AS freight_value) FROM c_items")(lambda s: s.items)
+query("clean_dedupe_latest", f"SELECT * REPLACE ({_d('price')} AS price, {_d('freight_value')} AS freight_value) FROM c_items")(lambda s: s.fresh("items"))
 query("clean_normalise_strings", r"SELECT p_partkey, nullif(lower(trim(regexp_replace('  ' || p_name || '   ' || p_brand || ' ', '\s+', ' ', 'g'))), '') AS t, CAST(NULL AS VARCHAR) AS blank FROM part")(
     lambda s: cleaning.normalise_strings(s.source.table("part").select("p_partkey", F.concat(F.lit("  "), "p_name", F.lit("   "), "p_brand", F.lit(" ")).alias("t"), F.lit("   ").alias("blank")), ("t", "blank", "absent"))
 )
@@ -261,13 +260,13 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN (SELECT n_regionkey
 query("order_totals", f"SELECT order_id, customer_id, order_purchase_timestamp, {_d('items_total')} AS items_total, {_d('freight_total')} AS freight_total, {_d('order_total')} AS order_total, items_count FROM totals")(lambda s: star.order_totals(s.orders, s.items))
 query("first_orders", "SELECT customer_unique_id, min(order_purchase_timestamp) AS first_order_ts FROM c_orders GROUP BY 1")(lambda s: star.first_orders(s.orders.join(s.customers, "customer_id")))
 query("customer_segments", f"SELECT * REPLACE ({_d('lifetime_value')} AS lifetime_value, CAST(days_since_last_order AS INTEGER) AS days_since_last_order) FROM segment")(lambda s: star.segments(star.order_totals(s.orders, s.items).join(s.customers, "customer_id"), s.day))
-query("customer_attributes", f"SELECT * REPLACE ({_d('lifetime_value')} AS lifetime_value) FROM attributes")(lambda s: s.attributes)
+query("customer_attributes", f"SELECT * REPLACE ({_d('lifetime_value')} AS lifetime_value) FROM attributes")(lambda s: s.fresh("attributes"))
 
 # --- data quality ---------------------------------------------------------
 _BAD = "CASE WHEN CAST(order_id AS BIGINT) % 50 = 0 THEN -price WHEN CAST(order_id AS BIGINT) % 51 = 0 THEN NULL ELSE price END"
 
 
-def _dirty(s: Star) -> DataFrame:
+def _dirty(s: Mart) -> DataFrame:
     k = F.col("order_id").cast("long")
     return s.items.withColumns({"price": F.when(k % 50 == 0, -F.col("price")).when(k % 51 != 0, F.col("price")), "product_id": F.when(k % 100 != 0, F.col("product_id"))}).select("order_id", "order_item_id", "product_id", "price", "freight_value")
 
@@ -298,26 +297,26 @@ dirty_query("dq_count_failures", f"SELECT rule_id, count(*) AS rows_failed FROM
   UNION ALL SELECT 'sellers', 'sellers.seller_id_not_null', 'reject', 0, count(*) FROM c_sellers
   UNION ALL SELECT 'customers', 'customers.state_two_letters', 'warn', count(*), count(*) FROM c_customers
   UNION ALL SELECT 'customers', 'customers.customer_id_not_null', 'reject', 0, count(*) FROM c_customers UNION ALL SELECT 'customers', 'customers.unique_id_not_null', 'reject', 0, count(*) FROM c_customers)""")
-def _dq_results(s: Star) -> DataFrame:
+def _dq_results(s: Mart) -> DataFrame:
     return rules.all_results({"products": s.source.products(), "sellers": s.source.sellers(), "customers": s.customers}).select("table_name", "rule_id", "severity", "rows_failed", "rows_checked", "failure_rate")
 
 
 # --- SCD2 -----------------------------------------------------------------
 query("scd2_overlay", f"SELECT op, customer_unique_id, customer_city, customer_state, customer_segment, order_count, {_d('lifetime_value')} AS lifetime_value FROM whole")(
-    lambda s: scd2.overlay(cleaning.latest_per_key(s.source.changes(s.as_of), ("customer_unique_id",), "updated_at"), s.seeded, scd2.CUSTOMER.key, scd2.CUSTOMER.attributes).select("op", "customer_unique_id", "customer_city", "customer_state", "customer_segment", "order_count", "lifetime_value")
+    lambda s: scd2.completed(s.met).select("op", "customer_unique_id", "customer_city", "customer_state", "customer_segment", "order_count", "lifetime_value")
 )
-query("scd2_classify", "SELECT customer_unique_id, action AS scd_action FROM classified")(lambda s: s.classified.select("customer_unique_id", F.col(scd2.ACTION).alias("scd_action")))
-query("scd2_action_counts", "SELECT action AS scd_action, count(*) AS n FROM classified GROUP BY 1")(lambda s: scd2.action_counts(s.classified).withColumnRenamed(scd2.ACTION, "scd_action"))
-query("scd2_new_versions", "SELECT customer_unique_id, customer_city, customer_state, is_deleted, _change_reason FROM dim_customer WHERE _change_reason <> 'initial_load'")(lambda s: scd2.new_versions(s.classified, scd2.CUSTOMER, s.day).select("customer_unique_id", "customer_city", "customer_state", "is_deleted", "_change_reason"))
-query("scd2_keys_to_close", "SELECT customer_unique_id FROM classified WHERE action IN ('changed', 'deleted')")(lambda s: scd2.keys_to_close(s.classified, "customer_unique_id"))
-query("scd2_seed", f"SELECT customer_unique_id, customer_city, {_d('lifetime_value')} AS lifetime_value, first_order_ts AS effective_from FROM attributes")(lambda s: s.seeded.select("customer_unique_id", "customer_city", "lifetime_value", "effective_from"))
+query("scd2_classify", "SELECT customer_unique_id, action AS scd_action FROM classified")(lambda s: scd2.completed(s.met).select("customer_unique_id", F.col(scd2.ACTION).alias("scd_action")))
+query("scd2_action_counts", "SELECT action AS scd_action, count(*) AS n FROM classified GROUP BY 1")(lambda s: scd2.action_counts(s.met).withColumnRenamed(scd2.ACTION, "scd_action"))
+query("scd2_new_versions", "SELECT customer_unique_id, customer_city, customer_state, is_deleted, _change_reason FROM dim_customer WHERE _change_reason <> 'initial_load'")(lambda s: scd2.opened(s.met, scd2.CUSTOMER, s.day).select("customer_unique_id", "customer_city", "customer_state", "is_deleted", "_change_reason"))
+query("scd2_keys_to_close", "SELECT customer_unique_id FROM classified WHERE action IN ('changed', 'deleted')")(lambda s: scd2.closed(s.met, scd2.CUSTOMER, s.day).select("customer_unique_id"))
+query("scd2_seed", f"SELECT customer_unique_id, customer_city, {_d('lifetime_value')} AS lifetime_value, first_order_ts AS effective_from FROM attributes")(lambda s: s.fresh("seeded").select("customer_unique_id", "customer_city", "lifetime_value", "effective_from"))
 query("scd2_live_population", "SELECT customer_unique_id, customer_city FROM dim_customer WHERE is_current AND NOT is_deleted")(lambda s: scd2.live(s.dim_customer).select("customer_unique_id", "customer_city"))
 
 
 @query("scd2_replay", "SELECT 'unchanged' AS scd_action, count(*) AS n FROM classified")
-def _replay(s: Star) -> DataFrame:
+def _replay(s: Mart) -> DataFrame:
     """The same feed again, against what it made: nothing to do."""
-    return scd2.action_counts(views.classify_feed(s.dim_customer, s.source.changes(s.as_of))).withColumnRenamed(scd2.ACTION, "scd_action")
+    return scd2.action_counts(views.meet_feed(s.dim_customer, s.source.changes(s.as_of))).withColumnRenamed(scd2.ACTION, "scd_action")
 
 
 query("scd2_point_in_time_join", "SELECT order_id, v_city AS customer_city, effective_from, effective_to FROM versioned")(
@@ -352,7 +351,7 @@ simple("agg_avg_min_max", f"SELECT o_orderstatus, {_mean('o_totalprice')} AS mea
     lambda s: _or(s).groupBy("o_orderstatus").agg(views.mean("o_totalprice").alias("mean"), F.min(_cents("o_totalprice")).alias("least"), F.max(_cents("o_totalprice")).alias("most"))
 )
 simple("agg_percentile", "SELECT o_orderstatus, quantile_disc(o_totalprice, 0.5) AS p50, quantile_disc(o_totalprice, 0.95) AS p95 FROM orders GROUP BY 1")(
-    lambda s: _or(s).groupBy("o_orderstatus").agg(F.percentile_approx("o_totalprice", 0.5, 1_000_000).alias("p50"), F.percentile_approx("o_totalprice", 0.95, 1_000_000).alias("p95"))
+    lambda s: views.percentiles(_or(s), ["o_orderstatus"], "o_totalprice", {"p50": 0.5, "p95": 0.95})
 )
 simple("agg_mode", "SELECT o_custkey % 10 AS k, o_orderpriority AS commonest FROM orders GROUP BY o_custkey % 10, o_orderpriority QUALIFY row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY count(*) DESC, o_orderpriority) = 1")(
     lambda s: _or(s).groupBy((F.col("o_custkey") % 10).alias("k")).agg(F.mode("o_orderpriority", deterministic=True).alias("commonest"))
@@ -412,3 +411,50 @@ query("events_sliding", f"SELECT b - to_days(k) AS start, event_type, count(*) A
 query("events_sessions", f"""SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS events, {_VALUE} AS value FROM (
   SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM {_ONCE})) GROUP BY user_id, g""")(lambda s: events.sessions(s.source.events()))
 
+# --- violations, so that checks are seen to find them ---------------------
+def _doubled(s: Mart) -> DataFrame:
+    """Versions of which some are there twice: every 13th person's current one again
+    under another key, every 17th's none."""
+    k = F.col("customer_unique_id").cast("long")
+    again = s.dim_customer.filter((k % 13 == 0) & F.col("is_current")).withColumns({"customer_sk": F.col("customer_sk") + 1, "is_current": F.lit(False)})
+    return s.dim_customer.unionByName(again).withColumn("is_current", F.col("is_current") & (k % 17 != 0))
+
+
+query("scd2_integrity_violations", """, wrong AS (
+  SELECT customer_unique_id, effective_from, effective_to, is_current AND CAST(customer_unique_id AS BIGINT) % 17 <> 0 AS is_current, row_number() OVER () AS v FROM (
+    SELECT * FROM dim_customer UNION ALL SELECT * REPLACE (false AS is_current) FROM dim_customer WHERE CAST(customer_unique_id AS BIGINT) % 13 = 0 AND is_current)
+), per AS (SELECT customer_unique_id, count(*) AS versions, CAST(count_if(is_current) AS BIGINT) AS current_versions FROM wrong GROUP BY 1
+), laps AS (SELECT a.customer_unique_id, count(*) AS n FROM wrong a JOIN wrong b ON a.customer_unique_id = b.customer_unique_id AND a.v <> b.v AND a.effective_from < b.effective_to AND b.effective_from < a.effective_to GROUP BY 1)
+SELECT customer_unique_id, versions, current_versions, coalesce(n, 0) AS overlapping_pairs, CASE WHEN current_versions <> 1 THEN 'expected exactly 1 current version' ELSE 'validity windows overlap' END AS violation
+FROM per LEFT JOIN laps USING (customer_unique_id) WHERE current_versions <> 1 OR n > 0""")(lambda s: scd2.integrity(_doubled(s)))
+
+
+def _spoilt(s: Mart) -> dict[str, DataFrame]:
+    """Tables with keys that repeat or are null, and references to nothing."""
+    tables = dict(s.tables())
+    tables["dim_date"] = tables["dim_date"].unionByName(tables["dim_date"].filter("day_of_month = 1"))
+    k = F.col("order_id").cast("long")
+    tables["fact_order"] = tables["fact_order"].withColumns({"customer_sk": F.when(k % 7 == 0, F.lit(-1)).otherwise(F.col("customer_sk")), "order_id": F.when(k % 11 != 0, F.col("order_id"))})
+    tables["dim_seller"] = tables["dim_seller"].filter(F.col("seller_id").cast("long") % 5 != 0)
+    return tables
+
+
+query("constraint_violations", """SELECT * FROM (
+  SELECT 'pk_dim_date' AS constraint_name, (SELECT count(*) FROM dim_date WHERE day_of_month = 1) AS violations
+  UNION ALL SELECT 'pk_fact_order', (SELECT CAST(count(*) > 0 AS BIGINT) FROM c_orders WHERE CAST(order_id AS BIGINT) % 11 = 0)
+  UNION ALL SELECT 'fk_fact_order_customer_sk', (SELECT count(*) FROM c_orders WHERE CAST(order_id AS BIGINT) % 7 = 0)
+  UNION ALL SELECT 'fk_fact_order_item_seller_sk', (SELECT count(*) FROM c_items JOIN c_sellers USING (seller_id) WHERE CAST(seller_id AS BIGINT) % 5 = 0)) WHERE violations > 0""")(
+    lambda s: checks.constraint_report(_spoilt(s)).filter("violations > 0")
+)
+
+# --- ingestion, tables, streams, generated feeds, from end to end ----------
+query("ingest_latest_landed", "SELECT seller_id, CASE WHEN CAST(seller_id AS BIGINT) % 3 = 0 THEN 'corrected ' || seller_city ELSE seller_city END AS seller_city, lower(seller_state) AS seller_state FROM c_sellers")(lambda s: scenarios.landed_twice(s.source))
+query("ingest_rescue", "SELECT seller_id, CASE WHEN CAST(seller_id AS BIGINT) % 3 = 0 THEN 'note ' || seller_id END AS note FROM c_sellers")(lambda s: scenarios.rescued(s.source))
+query("table_versions", """SELECT 'first' AS version, count(*) AS n, CAST(0 AS BIGINT) AS widened FROM supplier UNION ALL SELECT 'appended', 2 * count(*), 0 FROM supplier
+UNION ALL SELECT 'evolved', 2 * count(*) + (SELECT count(*) FROM nation), (SELECT count(*) FROM nation) FROM supplier UNION ALL SELECT 'restored', count(*), 0 FROM supplier""")(lambda s: scenarios.versions(s.source))
+simple("dq_probe", "SELECT * FROM (VALUES ('order_items.order_id_not_null', 1::BIGINT), ('order_items.product_id_not_null', 1), ('order_items.price_non_negative', 3), ('order_items.freight_non_negative', 2), ('order_items.item_sequence_positive', 1)) t(rule_id, rows_failed)")(lambda s: scenarios.probed(s.source))
+query("events_stream_tumbling", f"SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS events, {_VALUE} AS value FROM {_ONCE} GROUP BY 1, 2")(lambda s: scenarios.streamed(s.source))
+query("events_matched", f"SELECT a.event_id AS event_id, b.event_id AS later_id, a.user_id FROM {_ONCE} a JOIN {_ONCE} b ON a.user_id = b.user_id AND a.event_type <> b.event_type AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR")(
+    lambda s: events.matched(events.once(events.timed(s.source.events())), events.once(events.timed(s.source.events())), "1 hour")
+)
+query("generated_changes", "SELECT day, op, CASE op WHEN 'U' THEN 41 WHEN 'D' THEN 5 ELSE 3 END::BIGINT AS n, CASE op WHEN 'U' THEN 40 WHEN 'D' THEN 5 ELSE 3 END::BIGINT AS keys FROM (SELECT unnest([1, 2, 3])::INTEGER AS day), (SELECT unnest(['U', 'D', 'I']) AS op)")(lambda s: scenarios.generated(s.source))

@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import Context, Tables
 
-RUNS = "run_id string, task_name string, run_date date, started_at timestamp, ended_at timestamp, duration_seconds double, status string, rows_read bigint, rows_written bigint, rows_quarantined bigint, error_message string, details map<string,string>"
+#: The logs: grain, and columns.
+LOGS = {
+    "ops.pipeline_runs": ("one row per run and task", "run_id string NOT NULL COMMENT 'the run', task_name string NOT NULL, run_date date COMMENT 'the day that the run works on, not the day it runs', started_at timestamp, ended_at timestamp, duration_seconds double, status string COMMENT 'SUCCESS or FAILED', rows_read bigint, rows_written bigint, rows_quarantined bigint, error_message string, details map<string,string>"),
+    "ops.dq_results": ("one row per run, table and rule", "run_id string NOT NULL, run_date date, table_name string, rule_id string NOT NULL, description string, severity string, rows_checked bigint, rows_failed bigint, failure_rate double, evaluated_at timestamp"),
+    "ops.gold_fingerprints": ("one row per run and gold table", "run_id string NOT NULL, run_date date, captured_at timestamp, table_name string NOT NULL, row_count bigint, measure_sums map<string,decimal(20,2)>"),
+}
 #: The measures whose sums a table's fingerprint holds.
 MEASURES = {
     "dim_date": (), "dim_customer": ("lifetime_value",), "dim_product": (), "dim_seller": (), "dim_order_status": (), "dim_payment_type": (),
@@ -23,6 +28,11 @@ MEASURES = {
 }
 
 
+def ensure_tables(context: Context) -> list[str]:
+    """The logs, made where they aren't there; those that were made."""
+    return [name for name, (grain, ddl) in LOGS.items() if Tables(context).create(name, ddl, grain)]
+
+
 @dataclass
 class Task:
     """What a task has done; filled in while it runs."""
@@ -49,11 +59,13 @@ def logged(context: Context, name: str) -> Iterator[Task]:
         raw = "run_id string, task_name string, run_date string, started_at double, ended_at double, duration_seconds double, status string, rows_read bigint, rows_written bigint, rows_quarantined bigint, error_message string, details map<string,string>"
         df = context.spark.createDataFrame([row], raw)
         df = df.withColumns({"run_date": F.to_date("run_date"), "started_at": F.timestamp_seconds("started_at"), "ended_at": F.timestamp_seconds("ended_at")})
+        ensure_tables(context)
         Tables(context).append("ops.pipeline_runs", df)
 
 
 def log_quality(context: Context, results: DataFrame) -> int:
     stamped = results.withColumns({"run_id": F.lit(context.run_id), "run_date": F.to_date(F.lit(context.run_date)), "evaluated_at": F.current_timestamp()})
+    ensure_tables(context)
     return Tables(context).append("ops.dq_results", stamped)
 
 
@@ -72,6 +84,7 @@ def fingerprint(tables: dict[str, DataFrame]) -> DataFrame:
 
 def capture(context: Context, tables: dict[str, DataFrame]) -> int:
     stamped = fingerprint(tables).withColumns({"run_id": F.lit(context.run_id), "run_date": F.to_date(F.lit(context.run_date)), "captured_at": F.current_timestamp()})
+    ensure_tables(context)
     return Tables(context).append("ops.gold_fingerprints", stamped)
 
 

@@ -7,11 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import scd2, star
+from ..operators import checks, scd2, star
 from ..sources import ingest
 from ..sources.tables import Context, Tables
 from . import ops
-from .views import VIEWS, Star, classify_feed
+from .views import VIEWS, Star, meet_feed
 
 
 class Silver:
@@ -51,22 +51,20 @@ def seed_customers(context: Context) -> int:
 
 
 def apply_changes(context: Context, changes: DataFrame) -> dict[str, int]:
-    """A day's feed to ``gold.dim_customer``, in one replacement; rows per action.
-    A feed applied again is all ``unchanged`` and writes nothing."""
+    """A day's feed to ``gold.dim_customer``; rows per action. What the feed meets is
+    staged once, then counted, checked and written from there, in one replacement. A
+    feed applied again is all ``unchanged`` and writes nothing."""
     tables = Tables(context)
-    versions = tables.read("gold.dim_customer")
-    classified = classify_feed(versions, changes)
+    tables.replace("ops.stg_transitions", meet_feed(tables.read("gold.dim_customer"), changes))
+    met, versions = tables.read("ops.stg_transitions"), tables.read("gold.dim_customer")
     counts = dict.fromkeys((scd2.NEW, scd2.CHANGED, scd2.UNCHANGED, scd2.DELETED), 0)
-    counts |= {r[scd2.ACTION]: r.n for r in scd2.action_counts(classified).collect()}
+    counts |= {r[scd2.ACTION]: r.n for r in scd2.action_counts(met).collect()}
     if counts[scd2.NEW] or counts[scd2.CHANGED] or counts[scd2.DELETED]:
         day = F.lit(context.run_date).cast("timestamp")
-        after = scd2.next_state(versions, classified, scd2.CUSTOMER, day)
-        tables.replace("ops.stg_dim_customer", after)
-        staged = tables.read("ops.stg_dim_customer")
-        wrong = scd2.out_of_order(staged).count()
+        wrong = scd2.out_of_order(scd2.closed(met, scd2.CUSTOMER, day)).count()
         if wrong:
             raise ValueError(f"{wrong} versions would end before they begin; the feed is older than what it changes")
-        tables.replace("gold.dim_customer", staged)
+        tables.replace("gold.dim_customer", scd2.next_state(versions, met, scd2.CUSTOMER, day))
     return counts
 
 
@@ -105,17 +103,28 @@ class Gold(Star):
 
 
 def register_views(context: Context) -> list[str]:
-    """The views as temporary views of the session."""
+    """The views as temporary views of the session, each with its grain as comment."""
     gold = Gold(context)
-    for name, (view, _) in VIEWS.items():
-        view(gold).createOrReplaceTempView(name)
+    for name, (view, grain) in VIEWS.items():
+        view(gold).createOrReplaceTempView(f"{name}_plan")
+        context.spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} COMMENT '{grain}' AS SELECT * FROM {name}_plan")
     return list(VIEWS)
 
 
-def run(context: Context, folders: Mapping[str, str], changes: str | None = None) -> dict[str, int]:
+def declare_constraints(context: Context) -> None:
+    """Keys of the gold tables must not be null; what their rows are, as comment."""
+    tables = Tables(context)
+    for name, key in checks.PRIMARY_KEYS.items():
+        if tables.exists(f"gold.{name}"):
+            tables.declare(f"gold.{name}", not_null=key, comment=f"one row per {', '.join(key)}")
+
+
+def run(context: Context, folders: Mapping[str, str], changes: str | None = None, mode: str = "evolve") -> dict[str, int]:
     """Every stage in order, each logged; returns the rows of the gold tables."""
+    Tables(context).ensure_layers("bronze", "silver", "gold", "ops")
+    ops.ensure_tables(context)
     with ops.logged(context, "ingest") as t:
-        t.rows_read = t.rows_written = sum(ingest.ingest_all(context, folders, context.run_id).values())
+        t.rows_read = t.rows_written = sum(ingest.ingest_all(context, folders, context.run_id, mode).values())
     with ops.logged(context, "clean") as t:
         for name, c in ingest.clean_all(context, list(folders)).items():
             t.rows_read += c.read
@@ -134,6 +143,7 @@ def run(context: Context, folders: Mapping[str, str], changes: str | None = None
     with ops.logged(context, "star") as t:
         out = build_star(context)
         t.rows_written = sum(out.values())
+        declare_constraints(context)
     with ops.logged(context, "fingerprint") as t:
         t.rows_written = ops.capture(context, gold_tables(context))
         ops.check_repeatable(context)

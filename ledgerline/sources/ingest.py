@@ -1,25 +1,35 @@
 """Raw files to the bronze layer, each file once.
 
-A file stream with a checkpoint for each table reads what is new, until nothing
-is (``availableNow``); running it again reads nothing. Columns are all strings;
-where a row came from is stamped on it. Rows that don't fit the columns are kept
-whole in ``_rescued_data``.
+A stream of file names with a checkpoint for each table finds what is new, until
+nothing is (``availableNow``); running it again reads nothing. Each batch of files is
+read by the names in each file's header, wherever its columns stand; columns are all
+strings; where a row came from is stamped on it; a batch that is tried again is
+committed once. A column that the entity doesn't have widens the table (mode
+``evolve``) or goes into ``_rescued_data`` (mode ``rescue``), a JSON object of what
+doesn't fit, with a row of another shape whole under ``_row``.
 """
 
 from __future__ import annotations
 
+import csv
+import json
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import cast_numerics, latest_per_key, normalise_strings, parse_timestamps, rename
 from ..operators.rules import results, rules_for, split
-from .tables import Context, Tables
+from .tables import Context, Tables, hadoop, read_text
 
 RESCUED = "_rescued_data"
 PROVENANCE = ("_ingest_ts", "_source_file", "_batch_id")
+MODES = ("evolve", "rescue")
+#: Files of a batch, at most; their names go through the driver.
+FILES_PER_BATCH = 1000
+_ROW = "_row"
 _TIMES = ("order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date", "order_delivered_customer_date", "order_estimated_delivery_date")
 
 
@@ -55,33 +65,93 @@ ENTITIES = {
 }
 
 
-def ingest(context: Context, entity: Entity, folder: str, batch_id: str) -> int:
-    """New files of ``folder`` into ``bronze.<entity>``; returns the rows that came.
-
-    The stream's sink is a folder of Parquet files with Spark's own commit log, so
-    a batch that is tried again is written once."""
-    spark = context.spark
-    schema = ", ".join([*(f"`{c}` string" for c in entity.columns), f"`{RESCUED}` string"])
-    read = spark.readStream.schema(schema).option("header", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RESCUED).options(**entity.csv)
-    stamped = read.csv(folder).withColumns({"_ingest_ts": F.current_timestamp(), "_source_file": F.col("_metadata.file_path"), "_batch_id": F.lit(batch_id)})
-    target, log = context.path("bronze", entity.name), context.path("_checkpoints", entity.name)
-    query = stamped.writeStream.format("parquet").option("checkpointLocation", log).trigger(availableNow=True).start(target)
-    query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
-
-
-def ingest_all(context: Context, folders: Mapping[str, str], batch_id: str) -> dict[str, int]:
-    return {name: ingest(context, ENTITIES[name], folder, batch_id) for name, folder in folders.items()}
+def header(spark: SparkSession, path: str, options: Mapping[str, str] | None = None) -> tuple[str, ...]:
+    """The names in a file's first line; empty if it has none. Compressed files are
+    opened by the codec of their suffix."""
+    fs, at = hadoop(spark, path)
+    jvm = spark._jvm
+    stream = fs.open(at)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(at)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    line = reader.readLine()
+    reader.close()
+    options = options or {}
+    names = next(csv.reader([(line or "").removeprefix("\ufeff")], delimiter=options.get("sep", ","), quotechar=options.get("quote", '"')), [])
+    return tuple(n.strip() for n in names)
+
+
+def _columns(names: tuple[str, ...]) -> list[str]:
+    """Column names for a header: odd characters replaced, empty and repeated names
+    told apart by their place."""
+    out: list[str] = []
+    for i, n in enumerate(names):
+        n = re.sub(r"[ ,;{}()\n\t=`.]", "_", n) or f"column_{i + 1}"
+        out.append(n if n.lower() not in {x.lower() for x in out} else f"{n}_{i + 1}")
+    return out
+
+
+def read_files(spark: SparkSession, entity: Entity, paths: list[str], mode: str = "evolve") -> DataFrame:
+    """Rows of CSV files in the entity's columns, all strings, with ``_rescued_data``
+    and ``_source_file``. Files of one header are read together."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}, not {mode}")
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in sorted(paths):
+        by_header.setdefault(header(spark, path, entity.csv), []).append(path)
+    out = None
+    for names, files in by_header.items():
+        held = _columns(names)
+        schema = ", ".join([*(f"`{c}` string" for c in held), f"`{_ROW}` string"])
+        rows = spark.read.schema(schema).options(header="true", mode="PERMISSIVE", columnNameOfCorruptRecord=_ROW).options(**entity.csv).csv(files)
+        more = [c for c in held if c not in entity.columns]
+        odd = [*([] if mode == "evolve" else more), _ROW]
+        rescued = F.to_json(F.struct(*[F.col(f"`{c}`") for c in odd]))
+        rows = rows.withColumn(RESCUED, F.nullif(rescued, F.lit("{}")))
+        own = [F.col(f"`{c}`") if c in held else F.lit(None).cast("string").alias(c) for c in entity.columns]
+        rows = rows.select(*own, *([F.col(f"`{c}`") for c in more] if mode == "evolve" else []), RESCUED, F.col("_metadata.file_path").alias("_source_file"))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def ingest(context: Context, entity: Entity, folder: str, batch_id: str, mode: str = "evolve") -> int:
+    """New files of ``folder`` into ``bronze.<entity>``; returns the rows that came."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}, not {mode}")
+    spark, tables, target = context.spark, Tables(context), f"bronze.{entity.name}"
+    came = []
+
+    def take(names: DataFrame, number: int) -> None:
+        paths = [r.path for r in names.select("path").distinct().collect()]
+        if paths:
+            rows = read_files(spark, entity, paths, mode)
+            rows = rows.withColumns({"_ingest_ts": F.current_timestamp(), "_batch_id": F.lit(batch_id)})
+            # The stream is known by its checkpoint's id: a new checkpoint counts anew.
+            stream = json.loads(read_text(spark, f"{log}/metadata"))["id"]
+            came.append(tables.append(target, rows, evolve=True, batch=(stream, number)))
+
+    log = context.path("_checkpoints", entity.name)
+    # Only names are read here: the content column is pruned.
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", FILES_PER_BATCH).load(folder).select("path")
+    found.writeStream.foreachBatch(take).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    if not tables.exists(target):
+        stamped = "_source_file string, _ingest_ts timestamp, _batch_id string"
+        tables.create(target, ", ".join([*(f"`{c}` string" for c in entity.columns), f"{RESCUED} string", stamped]))
+    return sum(came)
+
+
+def ingest_all(context: Context, folders: Mapping[str, str], batch_id: str, mode: str = "evolve") -> dict[str, int]:
+    return {name: ingest(context, ENTITIES[name], folder, batch_id, mode) for name, folder in folders.items()}
 
 
 def bronze(context: Context, name: str) -> DataFrame:
-    return context.spark.read.parquet(context.path("bronze", name))
+    return Tables(context).read(f"bronze.{name}")
 
 
 def clean(raw: DataFrame, entity: Entity) -> DataFrame:
-    """Typed, parsed, normalised, one row per key."""
+    """Typed, parsed, normalised, one row per key: the latest by the entity's own
+    sequence, then the latest to land, then that of the last file by name."""
     df = parse_timestamps(cast_numerics(rename(raw, entity.renames), entity.numbers), entity.times)
-    return latest_per_key(normalise_strings(df, entity.texts), entity.key, entity.sequence)
+    return latest_per_key(normalise_strings(df, entity.texts), entity.key, entity.sequence, ("_ingest_ts", "_source_file"))
 
 
 @dataclass(frozen=True)

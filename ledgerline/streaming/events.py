@@ -25,8 +25,8 @@ def _counted(grouped) -> DataFrame:
     return grouped.agg(F.count(F.lit(1)).alias("events"), F.sum(F.col("value").cast("decimal(18,4)")).alias("value"))
 
 
-def tumbling(events: DataFrame, width: str = "1 day") -> DataFrame:
-    out = _counted(once(timed(events)).groupBy(F.window("ts", width), "event_type"))
+def tumbling(events: DataFrame, width: str = "1 day", late: str = "96 hours") -> DataFrame:
+    out = _counted(once(timed(events, late)).groupBy(F.window("ts", width), "event_type"))
     return out.select(F.col("window.start").alias("start"), "event_type", "events", "value")
 
 
@@ -38,3 +38,13 @@ def sliding(events: DataFrame, width: str = "2 days", step: str = "1 day") -> Da
 def sessions(events: DataFrame, gap: str = "12 hours") -> DataFrame:
     out = _counted(once(timed(events)).groupBy(F.session_window("ts", gap), "user_id"))
     return out.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events", "value")
+
+
+def matched(earlier: DataFrame, later: DataFrame, within: str = "1 hour") -> DataFrame:
+    """(event_id, later_id, user_id): each event with those of another type by the
+    same user in the time after it. On streams, both sides' watermarks and the range
+    bound what is kept waiting."""
+    a = earlier.select("event_id", F.col("user_id").alias("user"), F.col("ts").alias("at"), F.col("event_type").alias("kind"))
+    b = later.select(F.col("event_id").alias("later_id"), "user_id", "ts", "event_type")
+    near = F.expr(f"user = user_id AND kind <> event_type AND ts > at AND ts <= at + INTERVAL {within}")
+    return a.join(b, near).select("event_id", "later_id", "user_id")

@@ -1,5 +1,6 @@
 """Cleaning, rules and SCD2, on inline rows."""
 
+import math
 from datetime import datetime
 
 import pytest
@@ -35,6 +36,12 @@ def test_ties_do_not_depend_on_the_order_of_rows(spark):
     assert pick(rows) == pick(rows[::-1]) == "w"
 
 
+def test_the_latest_to_land_wins_where_there_is_no_sequence(spark):
+    rows = [("a", "zeta", 1, "f1"), ("a", "alpha", 2, "f1"), ("a", "beta", 2, "f2"), ("b", "one", None, "f9"), ("b", "two", 0, "f1")]
+    df = spark.createDataFrame(rows, "k string, v string, landed int, file string")
+    assert {r.k: r.v for r in cleaning.latest_per_key(df, ("k",), None, ("landed", "file")).collect()} == {"a": "beta", "b": "two"}
+
+
 def test_renames_pass_over_what_is_not_there(spark):
     assert cleaning.rename(spark.range(1), {"id": "k", "nope": "x"}).columns == ["k"]
 
@@ -89,9 +96,12 @@ def current(spark):
     return spark.createDataFrame([("1", "a", "x", 1.0, False), ("2", None, "x", 2.0, False), ("3", "c", "x", 3.0, True), ("4", "d", "x", 4.0, False)], CURRENT)
 
 
+def meet(spark, rows, ddl="id string, city string, op string"):
+    return scd2.transitions(current(spark), spark.createDataFrame(rows, ddl), DIM)
+
+
 def actions(spark, rows, ddl="id string, city string, op string"):
-    changes = scd2.overlay(spark.createDataFrame(rows, ddl), current(spark), "id", DIM.attributes)
-    return {r.id: r[scd2.ACTION] for r in scd2.classify(current(spark), changes, "id", DIM.tracked, "op").collect()}
+    return {r.id: r[scd2.ACTION] for r in scd2.completed(meet(spark, rows, ddl)).collect()}
 
 
 def test_what_changes_do(spark):
@@ -100,16 +110,20 @@ def test_what_changes_do(spark):
 
 
 def test_only_tracked_values_count(spark):
-    changes = spark.createDataFrame([("1", "a", "x", 99.0)], "id string, city string, segment string, value double")
-    assert scd2.classify(current(spark), changes, "id", DIM.tracked).first()[scd2.ACTION] == "unchanged"
+    assert actions(spark, [("1", "a", "x", 99.0)], "id string, city string, segment string, value double") == {"1": "unchanged"}
 
 
 def test_what_is_left_out_is_inherited(spark):
-    out = scd2.overlay(spark.createDataFrame([("1", "b", "U"), ("9", "z", "I")], "id string, city string, op string"), current(spark), "id", DIM.attributes)
-    got = {r.id: (r.city, r.segment, r.value, r.op) for r in out.collect()}
+    got = {r.id: (r.city, r.segment, r.value, r.op) for r in scd2.completed(meet(spark, [("1", "b", "U"), ("9", "z", "I")])).collect()}
     assert got == {"1": ("b", "x", 1.0, "U"), "9": ("z", None, None, "I")}
 
 
+def test_keys_that_the_feed_does_not_name_have_no_action(spark):
+    met = meet(spark, [("1", "b", "U"), (None, "q", "I")])
+    assert {r.key: r[scd2.ACTION] for r in met.collect()} == {"1": "changed", "2": None, "3": None, "4": None, None: "new"}
+    assert {r[scd2.ACTION]: r.n for r in scd2.action_counts(met).collect()} == {"changed": 1, "new": 1}
+
+
 def test_hashes_are_unambiguous(spark):
     df = spark.createDataFrame([("a||b", "c"), ("a", "b||c"), (None, "a"), ("a", None), ("<null>", "a")], "x string, y string")
     assert df.select(marked_hash([F.col("x"), F.col("y")]).alias("h")).distinct().count() == 5
@@ -133,13 +147,14 @@ def test_a_change_closes_and_opens_in_one_state_and_replays_to_nothing(spark):
     feed = spark.createDataFrame([("1", "z", "U"), ("2", None, "D"), ("9", "n", "I"), ("8", None, "D")], "id string, city string, op string")
 
     def step(state):
-        now = state.filter("is_current")
-        return scd2.classify(now, scd2.overlay(feed, now, "id", DIM.attributes), "id", DIM.tracked, "op")
+        return scd2.transitions(state, feed, DIM)
 
     after = scd2.next_state(versions, step(versions), DIM, day).cache()
     assert (after.count(), after.filter("is_current").count(), scd2.live(after).count()) == (6, 4, 3)
     assert scd2.integrity(after, DIM).count() == scd2.out_of_order(after).count() == 0
     assert {r.effective_to for r in after.filter("NOT is_current").collect()} == {datetime(2020, 1, 1)}
+    assert sorted(r.id for r in scd2.closed(step(versions), DIM, day).collect()) == ["1", "2"]
+    assert {r.id: (r.city, r.is_deleted) for r in scd2.opened(step(versions), DIM, day).collect()} == {"1": ("z", False), "2": ("b", True), "9": ("n", False)}
     assert [r[scd2.ACTION] for r in scd2.action_counts(step(after)).collect()] == ["unchanged"]
     again = scd2.next_state(after, step(after), DIM, day)
     assert again.exceptAll(after).count() == after.exceptAll(again).count() == 0
@@ -166,3 +181,24 @@ def test_constraints(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (None, 9)], "k int, ref int")
     assert sorted(r.n for r in checks.duplicate_keys(df, ["k"]).collect()) == [1, 2]
     assert [r.ref for r in checks.orphans(df, "ref", spark.range(1, 3), "id").collect()] == [9]
+
+
+def test_persons_have_the_address_of_their_latest_order(spark):
+    customers = spark.createDataFrame([("c1", "p", "old", "x", 1), ("c2", "p", "new", "y", 2), ("c3", "p", "never", "z", 3), ("c4", "q", "only", "w", 4)], "customer_id string, customer_unique_id string, customer_city string, customer_state string, customer_zip_code_prefix int")
+    orders = spark.createDataFrame([("1", "c1", datetime(2020, 1, 1)), ("2", "c2", datetime(2020, 6, 1))], "order_id string, customer_id string, order_purchase_timestamp timestamp")
+    items = spark.createDataFrame([("1", 1, 10, 1)], "order_id string, order_item_id int, price int, freight_value int").selectExpr("order_id", "order_item_id", "CAST(price AS DECIMAL(10,2)) price", "CAST(freight_value AS DECIMAL(10,2)) freight_value")
+    got = {r.customer_unique_id: r for r in star.customer_attributes(customers, orders, items, F.lit("2020-03-01").cast("timestamp")).collect()}
+    assert (got["p"].customer_city, got["p"].order_count, str(got["p"].lifetime_value), got["p"].customer_segment) == ("new", 1, "11.00", "new")
+    assert (got["p"].last_order_ts, got["p"].first_order_ts) == (datetime(2020, 1, 1), datetime(2020, 1, 1))
+    assert tuple(got["q"])[1:] == ("only", "w", 4, "unknown", 0, None, None, None)
+
+
+def test_percentiles_are_exact(spark):
+    from ledgerline.plans import views
+
+    values = [(k, v) for k in (1, 2, 3) for v in range(7 * k)] + [(4, None), (1, None)]
+    df = spark.createDataFrame(values, "k int, v int")
+    want = {k: (sorted(range(7 * k))[math.ceil(0.5 * 7 * k) - 1], sorted(range(7 * k))[math.ceil(0.95 * 7 * k) - 1]) for k in (1, 2, 3)}
+    assert {r.k: (r.a, r.b) for r in views.percentiles(df, ["k"], "v", {"a": 0.5, "b": 0.95}).collect()} == want
+    got = df.groupBy("k").agg(views.exact_percentile("v", 0.5).alias("a"), views.exact_percentile("v", 0.95).alias("b")).collect()
+    assert {r.k: (r.a, r.b) for r in got} == want | {4: (None, None)}
