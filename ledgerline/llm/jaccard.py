@@ -41,11 +41,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_tools import pieces
-from .common import U64, WORD, WordIds, column, documents, forget, mix64, written
+from .common import U64, WORD, Sieve, WordIds, column, documents, forget, kept, looked_up, mix64, planned_bytes, scratch, written
 
 #: Unless a contract says otherwise: five words, similarity 0.8.
 WIDTH, SIMILAR = 5, (80, 100)
@@ -53,6 +53,8 @@ WIDTH, SIMILAR = 5, (80, 100)
 ENTRIES_PER_TASK = 1_500_000
 #: Shingles that a task verifies at a time, about; 8 bytes each and a signature.
 SHINGLES_PER_TILE = 2_000_000
+#: Sets whose bitmaps a task holds against each other at a time, at most.
+SETS_PER_TILE = 1000
 _I64 = np.int64
 
 
@@ -269,14 +271,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 # --- verification ---------------------------------------------------------
-def links(size: np.ndarray, marks: list[np.ndarray], sets: list[np.ndarray] | None, num: int, den: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def links(size: np.ndarray, marks: list[np.ndarray], sets: list[np.ndarray] | None, num: int, den: int, side: np.ndarray | None = None, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs that link, and join all sets that are joined by links; without
     ``sets``, pairs that may link by their bitmaps. With ``side``, only pairs of
-    different sides are looked at."""
+    different sides are looked at; sets of one ``label`` are joined already."""
     order = np.argsort(size, kind="stable")
     size = size[order]
     marks = folded([marks[i] for i in order.tolist()])
     root = np.arange(len(size))
+    if label is not None:
+        _, first, which = np.unique(label[order], return_index=True, return_inverse=True)
+        root = first[which]
     found = []
     reach = np.searchsorted(size, size * den // num, side="right")
     for i in range(len(size) - 1):
@@ -387,34 +392,45 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["u", "v"])
 
 
+def _sides(rows: list[list]) -> tuple[bool, np.ndarray | None, np.ndarray]:
+    """(whether there is a pair to look at, sides, labels) of a tile's rows, which
+    begin with (side, set id, label); side 0 meets all of side 0."""
+    side, label = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    if side[0] == 0:
+        return len(rows) > 1, None, label
+    return bool((side != side[0]).any()), side, label
+
+
 def _bounded(num: int, den: int):
-    """Rows (tile, set id, size, bitmap), a tile's in a row -> edges (u, v) that
-    join the sets which may link by their bitmaps. Tiles of two go together."""
+    """Rows (tile, side, set id, label, size, bitmap), a tile's in a row -> edges
+    (u, v) that join the sets which may link by their bitmaps. Tiles of two go
+    together."""
 
     def two(held: list[list]) -> list[tuple[int, int]]:
         out = []
-        words = np.array([min(len(x[2]), len(y[2])) // 8 for x, y in held])
+        words = np.array([min(len(x[4]), len(y[4])) // 8 for x, y in held])
         for w in np.unique(words).tolist():
             which = np.flatnonzero(words == w).tolist()
             fold = lambda m: np.bitwise_or.reduce(np.frombuffer(m, dtype=U64).reshape(-1, w), axis=0)  # noqa: B023, E731
-            a, b = (np.array([fold(held[i][k][2]) for i in which]) for k in (0, 1))
-            na, nb = (np.array([held[i][k][1] for i in which]) for k in (0, 1))
+            a, b = (np.array([fold(held[i][k][4]) for i in which]) for k in (0, 1))
+            na, nb = (np.array([held[i][k][3] for i in which]) for k in (0, 1))
             ok = (overlap_bound(a, na, b, nb) >= need(na, nb, num, den)) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
-            out += [(held[which[i]][0][0], held[which[i]][1][0]) for i in np.flatnonzero(ok).tolist()]
+            out += [(held[which[i]][0][1], held[which[i]][1][1]) for i in np.flatnonzero(ok).tolist()]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twos: list[list] = []
         for rows in _grouped(batches):
-            rows = list({r[0]: r for r in rows}.values())
-            if len(rows) == 2:
+            rows = list({r[1]: r for r in rows}.values())
+            some, side, label = _sides(rows)
+            if some and len(rows) == 2:
                 twos.append(rows)
                 if len(twos) >= 20_000:
                     yield _pairs(two(twos))
                     twos = []
-            elif len(rows) > 2:
-                found = links(np.array([r[1] for r in rows]), [np.frombuffer(r[2], dtype=U64) for r in rows], None, num, den)
-                yield _pairs([(rows[i][0], rows[j][0]) for i, j in found])
+            elif some:
+                found = links(np.array([r[3] for r in rows]), [np.frombuffer(r[4], dtype=U64) for r in rows], None, num, den, side, label)
+                yield _pairs([(rows[i][1], rows[j][1]) for i, j in found])
         if twos:
             yield _pairs(two(twos))
 
@@ -437,19 +453,19 @@ def _arrays(width: int):
 
 
 def _verified(num: int, den: int):
-    """Rows (tile, side, set_id, shingles), a tile's in a row -> links (u, v)."""
+    """Rows (tile, side, set id, label, shingles), a tile's in a row -> links (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int]] = []
         for rows in _grouped(batches):
             rows = list({r[1]: r for r in rows}.values())
-            if len(rows) > 1:
-                sets = [np.frombuffer(r[2], dtype=U64) for r in rows]
+            some, side, label = _sides(rows)
+            if some:
+                sets = [np.frombuffer(r[3], dtype=U64) for r in rows]
                 size = np.array([len(x) for x in sets], dtype=_I64)
-                side = np.array([r[0] for r in rows])
                 flat, words = signatures(np.concatenate(sets), size), signature_words(size)
                 marks = np.split(flat, np.cumsum(words)[:-1])
-                found = links(size, marks, sets, num, den, side if (side != side[0]).any() else None)
+                found = links(size, marks, sets, num, den, side, label)
                 held += [(rows[i][1], rows[j][1]) for i, j in found]
             if len(held) >= 10_000:
                 yield _pairs(held)
@@ -460,39 +476,83 @@ def _verified(num: int, den: int):
     return run
 
 
-def _tiles(members: DataFrame, num: int, den: int, most: int) -> DataFrame:
-    """(set_id, tile, side) from members (set_id, n, root): where each candidate
-    is verified. A component of up to ``most`` shingles is one tile. A larger one
-    is cut by size bands of ratio den / num, a pair of neighbouring bands for each
-    tile, and, where that holds too many shingles, into blocks: a tile for each
-    pair of blocks, in which only sets of different blocks are compared, and one
-    for each block."""
-    weight = members.groupBy("root").agg(F.sum("n").alias("weight"))
-    known = members.join(weight, "root")
-    whole = known.filter(F.col("weight") <= most).select("set_id", F.xxhash64("root", F.lit(-1)).alias("tile"), F.lit(0).alias("side"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num))).cast("long")
-    cut = known.filter(F.col("weight") > most).withColumn("band", band)
-    # Rounding of the logarithm can only put a pair one band further apart.
-    cut = cut.withColumn("band", F.explode(F.array("band", F.col("band") - 1, F.col("band") - 2)))
-    load = cut.groupBy("root", "band").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(most // 2))).alias("blocks"))
-    cut = cut.join(load, ["root", "band"]).withColumn("block", F.pmod(F.xxhash64("set_id", "band"), F.col("blocks")))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pair = F.xxhash64("root", "band", F.least("block", "other"), F.greatest("block", "other"))
-    cut = cut.select("set_id", pair.alias("tile"), F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
+# --- groups of sets, cut into tiles of bounded weight ---------------------
+def _compared(members: DataFrame, most: int, compare) -> DataFrame:
+    """Edges among the members (grp, set_id, w, prefer) of each group, by
+    ``compare`` of tiles (tile, side, set_id, label). A group of up to ``most``
+    weight is one tile. In a larger one, all are held against one member first, the
+    least by (prefer, set_id), in as many tiles as its weight asks for; those joined
+    to it needn't be compared among themselves. Only the others are compared with each
+    other and with these, a tile for each pair of blocks."""
+    groups = members.groupBy("grp").agg(F.sum("w").alias("weight"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("prefer", "set_id"))["set_id"].alias("first"))
+    large = written(groups.filter(F.col("weight") > most), "groups")
+    alone = lambda df: df.select(F.col("grp").alias("tile"), F.lit(0).alias("side"), "set_id", F.col("set_id").alias("label"))
+    if large.isEmpty():
+        return compare(alone(members))
+    known = written(looked_up(members, large, ["grp"], "rows"), "known")
+    parts = F.ceil(F.col("weight") / F.lit(max(1, most))).cast("long")
+    others = known.filter("weight IS NOT NULL AND set_id <> first").select(F.xxhash64("grp", F.pmod(F.xxhash64("set_id"), parts)).alias("tile"), F.lit(2).alias("side"), "set_id", F.col("set_id").alias("label"))
+    firsts = large.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select(F.xxhash64("grp", "part").alias("tile"), F.lit(1).alias("side"), F.col("first").alias("set_id"), F.col("first").alias("label"))
+    found = written(compare(alone(known.filter("weight IS NULL")).unionByName(others).unionByName(firsts)), "edges")
+
+    # What is joined to the first of its group has its label, other sets their own.
+    held = known.filter("weight IS NOT NULL").select("grp", "set_id", "w", "first")
+    ends = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    marked = held.join(ends, (F.col("set_id") == F.col("u")) & (F.col("first") == F.col("v")), "left")
+    marked = marked.withColumn("apart", F.col("u").isNull() & (F.col("set_id") != F.col("first")))
+    marked = marked.select("grp", "set_id", "w", "apart", F.when(F.col("apart"), F.col("set_id")).otherwise(F.col("first")).alias("label"))
+    if not marked.filter("apart").isEmpty():
+        found = found.unionByName(_of_those_apart(written(marked, "marked"), most, compare))
+    return found
+
+
+def _of_those_apart(marked: DataFrame, most: int, compare) -> DataFrame:
+    """Edges of the members (grp, set_id, w, apart, label) that stand apart, among
+    each other and to the rest of their group."""
+    blocks = lambda p: F.ceil(F.coalesce(F.sum(F.when(p, F.col("w"))), F.lit(0)) / F.lit(max(1, most // 2))).cast("long")
+    load = marked.groupBy("grp").agg(blocks(F.col("apart")).alias("a"), blocks(~F.col("apart")).alias("b"), F.count(F.lit(1)).alias("rows")).filter("a > 0")
+    each = looked_up(marked, load, ["grp"], "rows").filter("a > 0")
+    own = F.pmod(F.xxhash64("set_id", "grp"), F.when(F.col("apart"), F.col("a")).otherwise(F.col("b")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    each = each.withColumn("own", own)
+    # (apart, apart): side 0 within a block, 1 and 2 across; (apart, joined): 3 and 4.
+    apart = each.filter("apart").withColumn("other", F.explode(upto("a")))
+    apart = apart.select(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "set_id", "label")
+    cross = lambda: F.xxhash64("grp", F.lit(-1), F.col("x"), F.col("y")).alias("tile")
+    left = each.filter("apart AND b > 0").withColumns({"x": F.col("own"), "y": F.explode(upto("b"))}).select(cross(), F.lit(3).alias("side"), "set_id", "label")
+    right = each.filter("NOT apart").withColumns({"y": F.col("own"), "x": F.explode(upto("a"))}).select(cross(), F.lit(4).alias("side"), "set_id", "label")
+    return compare(apart.unionByName(left).unionByName(right))
+
+
+def _windows(members: DataFrame, num: int, den: int, most: int) -> DataFrame:
+    """Groups (grp, set_id, w, prefer) in which candidates (set_id, n, root) are
+    verified: a component of up to ``most`` shingles; of a larger one, three
+    neighbouring size bands of ratio den / num, which hold each pair that can link
+    (rounding of the logarithm may put it one band further apart)."""
+    weight = members.groupBy("root").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("rows")).filter(F.col("weight") > most)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) if den > num else 1.0)).cast("long")
+    known = looked_up(members, weight, ["root"], "rows").withColumn("band", band)
+    whole = known.filter("weight IS NULL").select(F.col("root").alias("grp"), "set_id", F.col("n").alias("w"), F.lit(0).cast("long").alias("prefer"))
+    cut = known.filter("weight IS NOT NULL").withColumn("low", F.explode(F.array("band", F.col("band") - 1, F.col("band") - 2)))
+    cut = cut.select(F.xxhash64("root", "low").alias("grp"), "set_id", F.col("n").alias("w"), F.abs(F.col("band") - F.col("low") - 1).alias("prefer"))
     return whole.unionByName(cut)
 
 
-def _rooted(docs: DataFrame, width: int, similar: tuple[int, int], entries_per_task: int = ENTRIES_PER_TASK, shingles_per_tile: int = SHINGLES_PER_TILE) -> DataFrame:
+def _classes(docs: DataFrame, width: int, similar: tuple[int, int], entries_per_task: int = ENTRIES_PER_TASK, shingles_per_tile: int = SHINGLES_PER_TILE, sets_per_tile: int = SETS_PER_TILE) -> DataFrame:
     """(doc_id, h, set_id, n, root) of each row, a written table: the hash of its
     text, its class of equal sets, and the class that names its component."""
     num, den = similar
     if not 0 < num <= den:
         raise ValueError("similarity must be above 0, and 1 at most")
     spark = docs.sparkSession
-    rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
     # A text has about a word in six bytes, and a band's tiles are about
-    # (1 - t) / t of its shingles, with what the neighbouring band adds.
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # (1 - t) / t of its shingles, with what the neighbouring band adds. This only
+    # sets the number of tasks, so an estimate does: files hold texts compressed.
+    size = 3 * (planned_bytes(rows) or 0)
+    if not size:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.withColumn("h", F.xxhash64("text"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 6 * 2 * (den - num) / num / entries_per_task))
     packed = rows.mapInArrow(_entries(num, den, width, 4 * tasks), "p int, a binary, b binary, n binary, s binary")
     met = written(packed.repartition(tasks, "p").mapInArrow(_gathered, "kind int, u long, v long, n long, s binary, h long"), "sets")
@@ -500,61 +560,113 @@ def _rooted(docs: DataFrame, width: int, similar: tuple[int, int], entries_per_t
 
     # Bitmaps go to the tiles; of a class of equal sets, one.
     marks = met.filter("kind = 1 AND n > 0").select(F.col("v").alias("set_id"), "n", "s").dropDuplicates(["set_id"])
-    tiles = met.filter("kind = 0").select(F.col("u").alias("tile"), F.col("v").alias("set_id")).distinct()
-    marked = tiles.join(marks.hint("merge"), "set_id").select("tile", "set_id", "n", "s")
-    near = components(marked.repartition("tile").sortWithinPartitions("tile").mapInArrow(_bounded(num, den), "u long, v long"))
+    tiles = met.filter("kind = 0").select(F.col("u").alias("grp"), F.col("v").alias("set_id")).distinct()
+    tiles = tiles.withColumns({"w": F.lit(1).cast("long"), "prefer": F.lit(0).cast("long")})
+
+    def bounded(tiles: DataFrame) -> DataFrame:
+        marked = tiles.join(marks.hint("merge"), "set_id").select("tile", "side", "set_id", "label", "n", "s")
+        return marked.repartition("tile").sortWithinPartitions("tile").mapInArrow(_bounded(num, den), "u long, v long")
+
+    near = components(_compared(tiles, sets_per_tile, bounded))
 
     # Shingles are fetched for one document of each class that has a candidate.
     near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
     classes = members.filter("n > 0").groupBy("set_id", "n").agg(F.min("doc_id").alias("doc_id"))
     wanted = written(classes.join(near, F.col("set_id") == F.col("node")).select("set_id", "n", "root", "doc_id"), "wanted")
-    forget(spark, near)
     key = lambda c: F.struct(F.col(c).alias("k"))  # noqa: E731  a struct of null equals its like
     named = wanted.select(key("doc_id").alias("__key")).distinct()
-    texts = rows.withColumn("__key", key("doc_id")).join(named.hint("merge"), "__key", "left_semi").select("text")
+    # Texts that are surely not wanted stay where they are.
+    texts, _ = Sieve(wanted, F.xxhash64("doc_id"), wanted.count()).split(rows.select("doc_id", "text"), F.xxhash64("doc_id"))
+    texts = texts.withColumn("__key", key("doc_id")).join(named.hint("merge"), "__key", "left_semi").select("text")
     shingles = texts.mapInArrow(_arrays(width), "set_id long, shingles binary")
-    held = shingles.join(_tiles(wanted, num, den, shingles_per_tile).hint("merge"), "set_id").select("tile", "side", "set_id", "shingles")
-    verified = held.repartition("tile").sortWithinPartitions("tile").mapInArrow(_verified(num, den), "u long, v long")
+    groups = written(_windows(wanted.select("set_id", "n", "root"), num, den, shingles_per_tile), "windows")
+
+    def verified(tiles: DataFrame) -> DataFrame:
+        held = shingles.join(tiles.hint("merge"), "set_id").select("tile", "side", "set_id", "label", "shingles")
+        return held.repartition("tile").sortWithinPartitions("tile").mapInArrow(_verified(num, den), "u long, v long")
 
-    reached = components(verified)
+    reached = components(_compared(groups, shingles_per_tile, verified))
     of = members.join(reached, F.col("set_id") == F.col("node"), "left").select("doc_id", "h", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
-    of = written(of, "members")
-    forget(spark, met, wanted, reached)
-    return of
+    return written(of, "members")
+
+
+def _rooted(docs: DataFrame, *how) -> DataFrame:
+    """``_classes``; the tables on the way to it are removed."""
+    with scratch(docs.sparkSession):
+        return kept(_classes(docs, *how))
 
 
-def join(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, entries_per_task: int = ENTRIES_PER_TASK, shingles_per_tile: int = SHINGLES_PER_TILE) -> DataFrame:
+def join(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, entries_per_task: int = ENTRIES_PER_TASK, shingles_per_tile: int = SHINGLES_PER_TILE, sets_per_tile: int = SETS_PER_TILE) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id): each row's class of equal sets,
     and the smallest doc_id that it reaches by links. ``docs`` needs doc_id and
     text; other columns are left out."""
-    of = _rooted(docs, width, similar, entries_per_task, shingles_per_tile)
-    # Only classes of more than one row have anything to look up.
-    least = of.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("root", "least")
-    out = of.join(least.withColumnRenamed("root", "__root"), (F.col("root") == F.col("__root")) & (F.col("n") > 0), "left")
+    of = _rooted(docs, width, similar, entries_per_task, shingles_per_tile, sets_per_tile)
+    # Only components of more than one row have anything to look up.
+    worded = of.filter("n > 0")
+    least = worded.groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    out = looked_up(worded, least, ["root"], "rows").unionByName(of.filter("n = 0"), allowMissingColumns=True)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "set_id")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """``docs``, all columns kept, with one row of each group of near copies: that
-    of the smallest id, null last. A wordless text is no one's copy; of wordless
-    rows equal in id and text one stays, those without an id stay all."""
+    of the smallest id, null last, then of the smallest hash of its text; of rows
+    equal in both, that of the smallest hash of all its columns. A wordless text is
+    no one's copy; of wordless rows equal in id and text one stays, those without an
+    id stay all. Texts of rows that no other row is held against aren't shuffled."""
     names = docs.columns
-    id_, text = column(docs, "doc_id", "long"), column(docs, "text", "string")
-    # A row is known by its id and the hash of its text; the least of a component stays.
-    key = F.struct(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("h").alias("__hash"))
-    stays = _rooted(docs, width, similar).filter("n > 0").groupBy("root").agg(F.min(key).alias("r")).select("r.*", F.lit(True).alias("__stays"))
-    wordless = ~F.coalesce(text.rlike(WORD), F.lit(False))
-    # A wordless row without an id is alone: it has a key (null, 1, its own number),
-    # where others have (null, 0, hash). Of equal keys Spark keeps one row before the
-    # shuffle; the join is dealt by the same columns, so no second one follows.
-    rows = docs.withColumns({"__none": id_.isNull(), "__wordless": wordless}).withColumn("__alone", F.col("__none") & F.col("__wordless"))
-    rows = rows.withColumn("__id", F.coalesce(id_, F.col("__alone").cast("long")))
-    rows = rows.withColumn("__hash", F.when(F.col("__alone"), F.monotonically_increasing_id()).otherwise(F.xxhash64(text)))
-    own = ["__none", "__id", "__hash"]
-    once = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(1)))).filter("__nth = 1")
-    return once.join(stays, own, "left").filter("__wordless OR __stays").select(*[F.col(f"`{c}`") for c in names])
+    of = _rooted(docs, width, similar)
+    # A row is known by its id and the hash of its text; the least of a group stays.
+    group = F.when(F.col("n") > 0, F.struct(F.lit(0).alias("kind"), F.col("root").alias("a"), F.lit(0).cast("long").alias("b"))).when(F.col("doc_id").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("doc_id").alias("a"), F.col("h").alias("b")))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("h").alias("hash"))
+    rows = of.select(group.alias("grp"), key.alias("key")).filter("grp IS NOT NULL")
+    least = rows.groupBy("grp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    touched = looked_up(rows, least, ["grp"], "rows").filter("least IS NOT NULL").groupBy("key").agg(F.max(F.col("key") == F.col("least")).alias("stays"))
+    touched = written(touched, "touched")
+
+    inner = [f"c{i}" for i in range(len(names))]
+    own = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner, strict=True)], column(docs, "doc_id", "long").alias("own_id"), column(docs, "text", "string").alias("own_text"))
+    own = own.withColumn("key", F.struct(F.col("own_id").isNull().alias("none"), F.coalesce("own_id", F.lit(0)).alias("id"), F.xxhash64("own_text").alias("hash")))
+    alone = F.col("own_id").isNull() & ~F.coalesce(F.col("own_text").rlike(WORD), F.lit(False))
+    hashed = F.xxhash64("key.none", "key.id", "key.hash")
+    may, cannot = Sieve(touched, hashed, touched.count()).split(own.select(*inner, "key", alone.alias("alone")), hashed)
+    # Whatever passes the sieve without being touched is the only row of its key.
+    plain = [i for c, i in zip(names, inner, strict=True) if "map<" not in docs.schema[c].dataType.simpleString() and "variant" not in docs.schema[c].dataType.simpleString()]
+    once = may.filter("NOT alone").groupBy("key").agg(F.min_by(F.struct(*inner), F.xxhash64(*plain)).alias("row"))
+    kept = once.join(touched, "key", "left").filter("stays OR stays IS NULL").select("row.*")
+    out = cannot.select(*inner).unionByName(may.filter("alone").select(*inner)).unionByName(kept)
+    return out.select(*[F.col(i).alias(c) for c, i in zip(names, inner, strict=True)])
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, four words, similarity 0.85."""
     return join(documents(spark, sf_dir), 4, (85, 100)).select("doc_id", "n_shingles", "component_id")
+
+
+#: Shingles joined with shingles, and what is reached by links; for small tables.
+OP9_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM docs
+), sizes AS (
+  SELECT r, count(*) AS n, bit_xor(hash(s)) AS h FROM shingles GROUP BY r
+), classes AS (
+  SELECT r, n, min(r) OVER (PARTITION BY n, h) AS c FROM sizes
+), pairs AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r
+  WHERE a.r IN (SELECT c FROM classes) AND b.r IN (SELECT c FROM classes) GROUP BY a.r, b.r
+), links AS (
+  SELECT a, b FROM pairs p JOIN sizes x ON a = x.r JOIN sizes y ON b = y.r WHERE 100 * p.n >= 85 * (x.n + y.n - p.n)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT c AS a, c AS b FROM classes UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a
+), roots AS (
+  SELECT a, min(b) AS root FROM reach GROUP BY a
+), least AS (
+  SELECT root, min(doc_id) AS least FROM classes JOIN roots ON c = a JOIN docs USING (r) GROUP BY root
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least, doc_id) AS component_id
+FROM docs LEFT JOIN classes USING (r) LEFT JOIN roots ON c = a LEFT JOIN least USING (root)
+"""

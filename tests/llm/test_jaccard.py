@@ -59,7 +59,7 @@ def corpus(seed=1, n=120):
 def test_join_is_brute_force(spark, width, similar):
     docs = corpus()
     df = spark.createDataFrame(docs, DOCS).withColumn("set_id", F.lit("clash"))
-    small = {"entries_per_task": 400, "shingles_per_tile": 300} if width == 4 else {}
+    small = {"entries_per_task": 400, "shingles_per_tile": 300, "sets_per_tile": 3} if width == 4 else {}
     got = jaccard.join(df, width, similar, **small).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=repr) == brute(docs, width, *similar)
 
@@ -124,3 +124,56 @@ def test_components_of_a_chain_a_star_and_a_loop(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(201, 200), (202, 201), (200, 202), (5, 5)]
     got = {r.node: r.root for r in jaccard.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 0), **dict.fromkeys(range(101, 130), 100), 201: 200, 202: 200}
+
+
+def test_a_large_group_of_near_copies_of_many_sizes(spark):
+    """Groups beyond a tile are held against one member first, then cut in blocks."""
+    r = random.Random(21)
+    base = [f"b{i}" for i in range(120)]
+    docs = []
+    for i in range(150):
+        text = base[: r.choice([70, 84, 100, 120])]
+        for _ in range(r.choice([0, 1, 1, 2])):
+            text = [*text]
+            text[r.randrange(len(text))] = f"x{r.randrange(10**6)}"
+        docs.append((i, " ".join(text)))
+    docs += [(500 + i, " ".join(f"y{r.randrange(10**6)}" for _ in range(30))) for i in range(10)]
+    got = jaccard.join(spark.createDataFrame(docs, DOCS), 4, (85, 100), shingles_per_tile=900, sets_per_tile=8).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(docs, 4, 85, 100)
+
+
+def test_keep_one_with_clashing_names_ties_and_no_rows(spark):
+    names = ["__id", "__hash", "__nth", "__goes", "key", "alone", "row", "stays", "c0", "own_id", "own_text", "root", "grp"]
+    r = random.Random(3)
+    text = " ".join(f"w{r.randrange(10**6)}" for _ in range(40))
+    rows = [(1, text, f"v{i}") for i in range(5)] + [(2, text, "v"), (3, text + " more", "w"), (4, "else", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, value string")
+    for n in names:
+        df = df.withColumn(n, F.concat(F.lit(n), "value"))
+    out = jaccard.keep_one(df)
+    got = sorted(map(tuple, out.collect()))
+    assert out.columns == df.columns and [g[0] for g in got] == [1, 4] and all(g[3:] == tuple(n + g[2] for n in names) for g in got)
+    assert all(sorted(map(tuple, jaccard.keep_one(df.repartition(n)).collect())) == got for n in (1, 7))
+    assert jaccard.keep_one(df.limit(0)).count() == 0
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(8)
+    long = [f"w{r.randrange(10**7)}" for _ in range(150_000)]
+    near = [*long[:70_000], "changed", *long[70_001:]]
+    docs = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:100_000])), (4, "short text of five words")]
+    got = sorted(map(tuple, jaccard.join(spark.createDataFrame(docs, DOCS)).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == brute(docs, 5, 80, 100)
+
+
+def test_a_key_of_many_rows_is_looked_up_where_it_is(spark):
+    from ledgerline.llm.common import Sieve, looked_up
+
+    big = spark.createDataFrame([(7, i) for i in range(300)] + [(i, -i) for i in range(100, 140)] + [(None, 1)], "k long, v long")
+    small = big.filter("k < 130").groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.max("v").alias("most"))
+    got = looked_up(big, small, ["k"], "rows")
+    assert sorted(map(tuple, got.select("k", "v", "most").collect()), key=repr) == sorted(map(tuple, big.join(small, "k", "left").select("k", "v", "most").collect()), key=repr)
+    keys = spark.range(50)
+    may, cannot = Sieve(keys, F.xxhash64("id"), 50).split(spark.range(5000).withColumn("__at", F.lit("own")).withColumnRenamed("__at", "own"), F.xxhash64("id"))
+    found = {x.id for x in may.collect()}
+    assert found >= set(range(50)) and len(found) < 800 and len(found) + cannot.count() == 5000
