@@ -1,7 +1,7 @@
 """Language identification by multilingual mixture inference.
 
 Each learned language has a model of character n-grams within words (one to three
-letters, with word edges, hashed): smoothed log-likelihoods. A document's words
+characters, with word edges, hashed): smoothed log-likelihoods. A document's words
 are drawn from an unknown mixture of languages; expectation-maximisation finds
 the proportions that make the words' n-grams likeliest. The set of languages is
 chosen by penalised likelihood: from the likeliest single language on, the next
@@ -10,8 +10,9 @@ the logarithm of the number of words for each language added. The prediction is
 the language of the largest proportion; the score is that proportion.
 
 Counts of n-grams are taken on the executors from a bounded sample of documents
-of a known language (``TRAINING_ROWS``, by a hash of the id), and summed; what
-reaches the driver are at most languages x 2 to the power of BITS counts.
+of a known language (``TRAINING_ROWS`` rows that differ, by a hash of the row), and
+summed; what reaches the driver are at most ``MOST_LANGUAGES`` x 2 to the power of
+BITS counts.
 
 Learned from text and lang alone; lang, source and id are never inputs of a
 prediction. Whole texts are read. Defined results: a null text, or one without
@@ -41,10 +42,15 @@ TRAINING_ROWS = 20_000
 FOLDS, HELD_OUT = 4, 2
 PENALTY = 2.0
 STEPS = 12
-#: Log-likelihood of a word never counts for more than this, per language, so
-#: that one odd word can't decide.
-FLOOR = 25.0
+#: In a text of any language a word is noise with this probability: it stands there
+#: whatever the language, as likely as in the language that explains it best. So one
+#: odd word, however long, can't decide for a text.
+NOISE = 1e-11
+#: Languages that are learned, at most; more are an error. The model is broadcast.
+MOST_LANGUAGES = 1000
 UND = "und"
+#: They keep n-grams of different length apart (a code point has 21 bits).
+_KINDS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
 _LETTERS = regex.compile(r"\p{L}+")
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _ASCII = bytes.maketrans(bytes(b for b in range(128) if not chr(b).isalpha()), b" " * sum(not chr(b).isalpha() for b in range(128)))
@@ -61,29 +67,32 @@ def words_of(text: bytes | None) -> list[bytes]:
     return low.translate(_ASCII).split()
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, index of its word) of all letter n-grams of words, one to three
-    letters, with edges: 3 n + 1 of them for a word of n letters."""
-    x = np.frombuffer(b"\x00" + b"\x00".join(words) + b"\x00", dtype=np.uint8).astype(U64)
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot, index of its word) of all character n-grams of words, one to three
+    characters, with edges: 3 n + 1 of them for a word of n characters; and n."""
+    x = np.frombuffer((b"\x00" + b"\x00".join(words) + b"\x00").decode().encode("utf-32-le"), dtype=np.uint32).astype(U64)
     letter = x != 0
     owner = np.cumsum(~letter) - 1
     at = np.flatnonzero(letter)
     two = np.where(letter[:-1], owner[:-1], owner[1:])
     parts = [
-        x[at] + U64(1 << 8),
-        (x[:-1] << U64(8) | x[1:]) + U64(1 << 24),
-        (x[at - 1] << U64(16) | x[at] << U64(8) | x[at + 1]) + U64(1 << 32),
+        x[at] ^ _KINDS[0],
+        (x[:-1] << U64(21) | x[1:]) ^ _KINDS[1],
+        (x[at - 1] << U64(42) | x[at] << U64(21) | x[at + 1]) ^ _KINDS[2],
     ]
-    return (mix64(np.concatenate(parts)) >> U64(64 - BITS)).astype(np.int32), np.concatenate([owner[at], two, owner[at]])
+    slot = (mix64(np.concatenate(parts)) >> U64(64 - BITS)).astype(np.int32)
+    return slot, np.concatenate([owner[at], two, owner[at]]), np.bincount(owner[at], minlength=len(words))
 
 
 def fit_languages(rows: DataFrame, most: int = TRAINING_ROWS) -> tuple[list[str], np.ndarray] | None:
     """(languages in order, log-likelihoods float32 [languages x slots]) from rows
     (doc_id, text, lang); None if there is nothing to learn from."""
     marked = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    # The bound holds by rank among hashes of the ids, which are narrow rows.
-    ids = marked.select(F.col("doc_id")).withColumn("__h", F.xxhash64("doc_id")).distinct().orderBy("__h", "doc_id").limit(most)
-    sample = marked.join(F.broadcast(staged(ids.select("doc_id"))), "doc_id")
+    # The bound holds by rank among hashes of the rows, which are narrow; rows that
+    # are alike are one, so that a row repeated without end stays one.
+    known = marked.select("text", "lang", F.xxhash64("doc_id", "lang", "text").alias("h"))
+    chosen = staged(known.select("h").distinct().orderBy("h").limit(most))
+    sample = known.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.*")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
@@ -91,7 +100,7 @@ def fit_languages(rows: DataFrame, most: int = TRAINING_ROWS) -> tuple[list[str]
 
         def settle() -> None:
             for lang, words in seen.items():
-                slot, of = grams(list(words))
+                slot, of, _ = grams(list(words))
                 times = np.fromiter(words.values(), dtype=np.float64, count=len(words))
                 held[lang] = held.get(lang, 0) + np.bincount(slot, weights=times[of], minlength=1 << BITS)
             seen.clear()
@@ -113,6 +122,8 @@ def fit_languages(rows: DataFrame, most: int = TRAINING_ROWS) -> tuple[list[str]
     langs = np.array(table.column("lang").to_pylist(), dtype=object)
     slot, n = table.column("slot").to_numpy(), table.column("n").to_numpy()
     names = sorted(set(langs.tolist()))
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"{len(names)} languages are more than {MOST_LANGUAGES}")
     counts = np.zeros((len(names), 1 << BITS))
     index = {x: i for i, x in enumerate(names)}
     counts[np.array([index[x] for x in langs]), slot] = n
@@ -139,11 +150,10 @@ class WordScores(WordIds):
             self.scores = np.empty((0, len(self.models)))
         ids = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         if self._new:
-            slot, of = grams(self._new)
+            slot, of, n = grams(self._new)
             # The mean over a word's n-grams, times its letters: n-grams overlap.
-            n = np.fromiter(map(len, self._new), dtype=np.float64, count=len(self._new))
             new = np.array([np.bincount(of, weights=m[slot], minlength=len(n)) for m in self.models]) * ((n + 1) / (3 * n + 1))
-            new = np.maximum(new - new.max(axis=0), -FLOOR)
+            new = np.logaddexp(new - new.max(axis=0), np.log(NOISE))
             self.scores = np.vstack([self.scores, new.T])
             self._new = []
         return self.scores[ids]
