@@ -15,8 +15,11 @@ label to learn from, every score is 0.5; repeated rows score alike.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,15 +44,12 @@ _SHAPE = bytes.maketrans(
 )
 
 
+_RUNS = re.compile(rb"(.)\1{2,}", re.S)
+
+
 def shape(word: bytes) -> bytes:
-    """The word's look: runs of one kind of character shortened to two."""
-    folded, out = word.translate(_SHAPE), bytearray()
-    for b in folded:
-        if len(out) < 2 or out[-1] != b or out[-2] != b:
-            out.append(b)
-        if len(out) >= 12:
-            break
-    return bytes(out)
+    """The word's look, the whole of it: runs of one kind shortened to two."""
+    return _RUNS.sub(rb"\1\1", word.translate(_SHAPE))
 
 
 class Features:
@@ -80,8 +80,6 @@ class ShapeIds(WordIds):
         super().__init__(seed=2)
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
         self[word] = at = len(self)
         self._new.append(xxhash.xxh3_64_intdigest(shape(word), 2))
         return at
