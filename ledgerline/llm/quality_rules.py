@@ -9,7 +9,8 @@ it, from the counts of the distinct masks alone; no text is read again.
 
 Words are runs of anything but ASCII white space. Defined results: a null or
 empty text has no words, all measurements 0 and fails ``too_few_words``; a line
-counts as repeated if it holds a word and equals an earlier line; a text has few
+counts as repeated if it holds a word and equals an earlier line, and fails a text
+if more than a third of its lines are repeated; a text has few
 distinct words if they are less than a twentieth of its words and, since a
 vocabulary grows slower than a text, than the square root of five times their
 number (the lower bound of the two from 2,000 words on); repeated rows
@@ -47,11 +48,11 @@ RULES = (
     Rule("too_few_words", "n_words < 50"),
     Rule("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("repeated_lines", "n_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines"),
+    Rule("repeated_lines", "3 * n_dup_lines > n_lines"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 20 * n_words"),
     Rule("shouting", "n_letters > 0 AND 10 * n_upper > 6 * n_letters"),
-    Rule("few_distinct_words", "n_words >= 50 AND 100 * n_distinct_words < 5 * n_words AND n_distinct_words * n_distinct_words < 5 * n_words"),
+    Rule("few_distinct_words", "100 * n_distinct_words < 5 * n_words AND n_distinct_words * n_distinct_words < 5 * n_words"),
 )
 
 
