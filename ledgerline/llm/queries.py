@@ -16,11 +16,15 @@ QUERIES = {
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_bpe": bpe.op10_bpe,
     "rule_ablations": quality_rules.op7_rule_ablations,
+    "neighbours_exact": ann.op5_exact,
+    "neighbours_recall": ann.op5_recall,
 }
 
 ORACLE_SQL = {
     "op1_jump_sharding": sharding.OP1_SQL,
     "op7_rule_ledger": quality_rules.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
+    "op9_jaccard_join": jaccard.OP9_SQL,
     "rule_ablations": quality_rules.OP7_ABLATIONS_SQL,
+    "neighbours_exact": ann.OP5_EXACT_SQL,
 }
