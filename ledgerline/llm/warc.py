@@ -11,8 +11,8 @@ folder's archives back, checks the digest of every payload, and gives records.
 Archives are bounded in size and written under a temporary name, which becomes
 their own when they are whole. Their names follow from the partition, whose rows
 are in order of page_id; so a task that runs again writes the same files again.
-The folder may be on any file system that Arrow opens by its URI; archives are
-read by Spark's own reader.
+The folder may be on any file system that Arrow opens by its URI (local, hdfs, s3,
+gs, abfss; s3a is s3 there); archives are read by Spark's own reader.
 
 Only groups of equal payloads are looked up: they are broadcast if they are few
 (``BROADCAST_GROUPS``), else joined by (digest, salt), so that a payload shared by
@@ -27,6 +27,7 @@ archive. With too few records to make a dictionary, archives have none.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -131,6 +132,11 @@ def records(data: bytes) -> Iterator[bytes]:
             yield unpack.decompress(data[start:end])
 
 
+def arrow_uri(folder: str) -> str:
+    """The URI by which Arrow knows a folder that Hadoop names by ``folder``."""
+    return re.sub(r"^s3[an]:", "s3:", folder)
+
+
 # --- writing --------------------------------------------------------------
 def make_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes | None:
     """A trained dictionary; None if there is too little to train on."""
@@ -179,7 +185,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2020-01-01T00:00:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        system, base = fs.FileSystem.from_uri(folder)
+        system, base = fs.FileSystem.from_uri(arrow_uri(folder))
         task = TaskContext.get()
         lead = dictionary_frame(dictionary.value) if dictionary.value else b""
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary.value) if dictionary.value else None, write_content_size=True)
