@@ -6,7 +6,8 @@ keeps for each half the least and greatest distance. A search goes down to each
 query's own leaf first, then through the tree: a half whose distances can't hold
 anything nearer than the worst neighbour found so far is passed over. The
 triangle inequality gives the bound; ``relax`` multiplies it, so that above 1
-halves are passed over that might hold a neighbour, and 1 is exact search.
+halves are passed over that might hold a neighbour, and 1 is exact search. The
+factor is the largest that finds ``RECALL`` of the nearest in a bounded sample.
 
 The measure is the largest inner product. Vectors are lifted by one coordinate to
 the length of their shard's longest, where the nearest in Euclidean distance are
@@ -46,9 +47,11 @@ LEAF_ROWS = 128
 NEIGHBOURS = 20
 #: Queries are the rows whose id is divisible by this.
 EVERY = 20
-#: Factor of the pruning bound in production: on the vectors at hand about a tenth of
-#: the pairs isn't scored, and 0.98 of the nearest are found (README). 1 is exact.
-RELAX = 6.0
+#: Factors of the pruning bound that ``fit_relax`` tries; 1 is exact.
+FACTORS = (1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0)
+#: Part of the nearest that a factor must find to be taken, and the sample (vectors,
+#: and queries among them) on which it is measured.
+RECALL, SAMPLE_ROWS, SAMPLE_QUERIES = 0.97, 8192, 256
 
 
 def _usable(v: Column) -> Column:
@@ -97,7 +100,7 @@ class Tree:
         self.ids, self.vectors = ids[kept], np.ascontiguousarray(vectors[kept])
         self.times = np.ones(len(kept), dtype=np.int64) if times is None else times[kept]
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, relax: float = RELAX) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, relax: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """(query, id, score) of the k nearest of each query, the shard's own, in
         order of (query, -score, id); and the number of pairs that were scored."""
         n = len(queries)
@@ -206,9 +209,44 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataF
     return staged(dealt.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, tree binary")), shards
 
 
-def search(index: DataFrame, shards: int, queries: DataFrame, k: int = NEIGHBOURS, relax: float = RELAX, block: int = BLOCK_QUERIES, together: int = BLOCKS_TOGETHER) -> DataFrame:
+def best_factor(vectors: np.ndarray, k: int = NEIGHBOURS, queries: int = SAMPLE_QUERIES, recall: float = RECALL) -> float:
+    """The largest factor up to which every one finds that part of the nearest."""
+    own = np.arange(len(vectors))
+    asked = own[:queries]
+    tree = Tree(own, vectors)
+    found = lambda relax: set(zip(*(x.tolist() for x in tree.search(vectors[asked], asked, k, relax)[:2]), strict=True))
+    exact, best = found(1.0), 1.0
+    for factor in FACTORS[1:]:
+        if len(found(factor) & exact) < recall * len(exact):
+            break
+        best = factor
+    return best
+
+
+def fit_relax(vectors: DataFrame, k: int = NEIGHBOURS, recall: float = RECALL, rows: int = SAMPLE_ROWS) -> dict[int, float]:
+    """A factor for each length of vectors, from a bounded sample (``rows`` vectors of
+    the least hashes), in one task; what the sample has too few of is searched exactly.
+    A shard's search keeps k of its own rows, of which fewer are among the k of all;
+    so what all shards find together is at least as complete as the sample's."""
+    held = vectors.select(column(vectors, "vec_id", "long").alias("vec_id"), column(vectors, "embedding", "array<double>").alias("v"))
+    held = held.filter(F.col("vec_id").isNotNull() & _usable(F.col("v"))).withColumn("h", F.xxhash64("vec_id", "v"))
+    chosen = held.select("h", "v").dropDuplicates(["h"]).orderBy("h").limit(rows)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_dim: dict[int, list] = {}
+        for batch in batches:
+            for v in batch.column("v").to_pylist():
+                by_dim.setdefault(len(v), []).append(v)
+        found = {d: best_factor(_matrix(x), k, recall=recall) for d, x in by_dim.items() if len(x) >= 4 * LEAF_ROWS}
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(found.values(), pa.float64())], ["dim", "relax"])
+
+    return {r.dim: r.relax for r in chosen.repartition(1).mapInArrow(fitted, "dim int, relax double").collect()}
+
+
+def search(index: DataFrame, shards: int, queries: DataFrame, k: int = NEIGHBOURS, relax: float | dict[int, float] = 1.0, block: int = BLOCK_QUERIES, together: int = BLOCKS_TOGETHER) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each query row (vec_id,
-    embedding), best first.
+    embedding), best first. ``relax`` is a factor, or one for each length of vectors
+    (``fit_relax``), others being searched exactly.
 
     ``together`` blocks of queries meet a shard's tree in one task, which loads the
     tree once and searches block by block; a shard's other blocks are other tasks.
@@ -228,7 +266,9 @@ def search(index: DataFrame, shards: int, queries: DataFrame, k: int = NEIGHBOUR
             for i in range(asked.num_rows):
                 block = asked.column("queries")[i].as_py()
                 own = np.array([x["vec_id"] for x in block], dtype=np.int64)
-                q, ids, score, _ = held.search(_matrix([x["v"] for x in block]), own, k, relax)
+                vectors = _matrix([x["v"] for x in block])
+                factor = relax.get(vectors.shape[1], 1.0) if isinstance(relax, dict) else relax
+                q, ids, score, _ = held.search(vectors, own, k, factor)
                 out.append(pa.table({"query_id": pa.array(own[q], pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(score, pa.float64())}))
         return pa.concat_tables(out) if out else pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]).empty_table()
 
@@ -240,7 +280,7 @@ def search(index: DataFrame, shards: int, queries: DataFrame, k: int = NEIGHBOUR
 
 def op5_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest of every EVERYth row among all rows."""
-    return _nearest(spark, sf_dir, RELAX)
+    return _nearest(spark, sf_dir)
 
 
 def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,14 +292,14 @@ def op5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(queries, found, wanted): of the nearest that the exact search finds, how many
     the production factor does."""
     exact = _nearest(spark, sf_dir, 1.0).select("query_id", "vec_id")
-    near = _nearest(spark, sf_dir, RELAX).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    near = _nearest(spark, sf_dir).select("query_id", "vec_id", F.lit(1).alias("hit"))
     return exact.join(near, ["query_id", "vec_id"], "left").agg(F.count_distinct("query_id").alias("queries"), F.count("hit").alias("found"), F.count(F.lit(1)).alias("wanted"))
 
 
-def _nearest(spark: SparkSession, sf_dir: str, relax: float) -> DataFrame:
+def _nearest(spark: SparkSession, sf_dir: str, relax: float | None = None) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     index, shards = build_index(vectors)
-    return search(index, shards, vectors.filter(F.col("vec_id") % EVERY == 0), relax=relax)
+    return search(index, shards, vectors.filter(F.col("vec_id") % EVERY == 0), relax=fit_relax(vectors) if relax is None else relax)
 
 
 OP5_EXACT_SQL = f"""

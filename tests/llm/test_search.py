@@ -65,6 +65,39 @@ def test_relaxing_prunes_and_recall_stays(spark):
     assert work[0] < 0.9 * 2400 * len(q) and work[2] <= work[1] <= work[0]
 
 
+def unit(n, dim, seed=4):
+    """Vectors about a few centres, of length one."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(12, dim))[r.integers(0, 12, n)] * 0.6 + r.normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_the_factor_that_is_fitted_prunes_and_finds_nine_in_ten(spark):
+    for dim in (8, 24, 64):
+        x = unit(6000, dim)
+        factor = ann.best_factor(x[np.random.default_rng(1).permutation(6000)[:3000]])
+        q = np.arange(0, 6000, 20)
+        a, ids, _, scored = ann.Tree(np.arange(6000), x).search(x[q], q, 20, factor)
+        truth = [set(np.argsort(-(x @ x[i]), kind="stable")[:21].tolist()) - {i} for i in q]
+        recall = np.mean([len(set(ids[a == n].tolist()) & t) / 20 for n, t in enumerate(truth)])
+        assert factor > 1 and recall >= 0.93 and scored < 0.97 * 6000 * len(q)
+    rows = [(i, v.tolist()) for i, v in enumerate(unit(700, 8))] + [(1000 + i, [1.0, float(i)]) for i in range(20)] + [(1, None), (None, [1.0] * 8)]
+    fitted = ann.fit_relax(spark.createDataFrame(rows, VECTORS))
+    assert set(fitted) == {8} and fitted[8] in ann.FACTORS and ann.fit_relax(spark.createDataFrame([], VECTORS)) == {}
+
+
+def test_blocks_of_queries_are_searched_apart_or_together(spark, tmp_path):
+    x = unit(900, 8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECTORS)
+    index, shards = ann.build_index(df, shard_rows=200)
+    got = [sorted(map(tuple, ann.search(index, shards, df.filter("vec_id % 20 = 0"), relax=1.0, block=7, together=t).collect())) for t in (1, 3, 100)]
+    assert got[0] == got[1] == got[2] and [g[:3] for g in got[0]] == [(q, n, i) for q, n, i, _ in nearest([(i, v.tolist()) for i, v in enumerate(x)], 20)]
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert ann.op5_exact(spark, str(tmp_path)).count() == 45 * 20
+    found = ann.op5_recall(spark, str(tmp_path)).first()
+    assert (found.queries, found.wanted) == (45, 900) and found.found >= 850
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([(0, None)], VECTORS)
     index, shards = ann.build_index(df)
@@ -104,6 +137,20 @@ def test_archives_are_read_back(spark, tmp_path, broadcast):
     assert warc.parse(list(warc.records(data))[spans.index((one.start, one.start + one.length, False)) - 1])[0] == one.page_id
 
 
+def test_very_long_payloads_and_ties_are_read_back(spark, tmp_path):
+    long = "".join(random.Random(1).choice("abcdefgh <>") for _ in range(300_000)) * 20
+    rows = [(3, "u", long), (1, "u", long), (1, "v", long), (2, "w", long + "!")]
+    folder = f"file://{tmp_path}/long"
+    index = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, archive_bytes=100_000)
+    assert index.select("archive").distinct().count() > 1
+    got = sorted(map(tuple, warc.read_archives(spark, folder).drop("payload_digest").collect()), key=repr)
+    assert got == [(1, len(long), "response", None)] * 2 + [(2, len(long) + 1, "response", None), (3, len(long), "revisit", 1)]
+
+
+def test_folders_are_named_as_arrow_does():
+    assert [warc.arrow_uri(f) for f in ("s3a://b/x", "s3n://b", "hdfs://n/s3a:", "file:///a")] == ["s3://b/x", "s3://b", "hdfs://n/s3a:", "file:///a"]
+
+
 def test_damage_is_noticed(tmp_path):
     digest = hashlib.sha256(b"hello").hexdigest()
     good = warc.record(1, "u", b"hello", 5, digest, None, "2020-01-01T00:00:00Z")
