@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
+from pyspark.sql.types import DecimalType, StructType
 
 from ..functions.columns import share
 from ..operators import checks, cleaning, rules, scd2, star
@@ -458,3 +458,27 @@ query("events_matched", f"SELECT a.event_id AS event_id, b.event_id AS later_id,
     lambda s: events.matched(events.once(events.timed(s.source.events())), events.once(events.timed(s.source.events())), "1 hour")
 )
 query("generated_changes", "SELECT day, op, CASE op WHEN 'U' THEN 41 WHEN 'D' THEN 5 ELSE 3 END::BIGINT AS n, CASE op WHEN 'U' THEN 40 WHEN 'D' THEN 5 ELSE 3 END::BIGINT AS keys FROM (SELECT unnest([1, 2, 3])::INTEGER AS day), (SELECT unnest(['U', 'D', 'I']) AS op)")(lambda s: scenarios.generated(s.source))
+query("batch_pipeline", f"""SELECT 'gold.dim_date' AS what, (SELECT count(*) FROM dim_date) AS n UNION ALL SELECT 'gold.dim_product', (SELECT count(*) FROM dim_product) UNION ALL SELECT 'gold.dim_seller', (SELECT count(*) FROM c_sellers)
+UNION ALL SELECT 'gold.dim_order_status', (SELECT count(DISTINCT order_status) FROM c_orders) UNION ALL SELECT 'gold.dim_payment_type', (SELECT count(DISTINCT payment_type) FROM c_payments) UNION ALL SELECT 'gold.dim_customer', (SELECT count(*) FROM dim_customer)
+UNION ALL SELECT 'gold.fact_order', (SELECT count(*) FROM fact_order) UNION ALL SELECT 'gold.fact_order_item', (SELECT count(*) FROM fact_order_item) UNION ALL SELECT 'gold.fact_payment', (SELECT count(*) FROM fact_payment)
+UNION ALL SELECT 'gold tables that the second run changed', 0 UNION ALL SELECT 'differences of fingerprints', 0 UNION ALL SELECT 'tasks that succeeded', 12
+UNION ALL SELECT 'first run: rows ingested', 2 * (SELECT count(*) FROM c_orders) + (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM c_payments) + (SELECT count(*) FROM c_products) + (SELECT count(*) FROM c_sellers) + (SELECT count(*) FROM c_translation)
+UNION ALL SELECT 'second run: rows ingested', 0 UNION ALL SELECT 'first run: changes written', (SELECT count(*) FROM classified WHERE action <> 'unchanged') UNION ALL SELECT 'second run: changes written', 0
+UNION ALL SELECT 'duplicate lines', (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM c_items) UNION ALL SELECT 'rows with their file and time', (SELECT count(*) FROM c_orders)
+UNION ALL SELECT 'rules logged', {sum(r.table != 'order_reviews' for r in rules.RULES)} UNION ALL SELECT 'views', 13""")(lambda s: scenarios.batch_runs(s.source, AS_OF))
+query("scd2_row_hashes", "SELECT count(*) AS versions, count(DISTINCT (coalesce(customer_city, '<null>'), coalesce(customer_state, '<null>'), customer_segment)) AS kinds FROM dim_customer")(
+    lambda s: s.dim_customer.agg(F.count(F.lit(1)).alias("versions"), F.count_distinct("_row_hash").alias("kinds"))
+)
+query("scd2_version_keys", "SELECT count(*) AS versions, count(*) AS keys FROM dim_customer")(lambda s: s.dim_customer.agg(F.count(F.lit(1)).alias("versions"), F.count_distinct("customer_sk").alias("keys")))
+simple("project_renamed_and_conformed", "SELECT CAST(s_suppkey AS VARCHAR) AS seller, CAST(s_acctbal AS DECIMAL(12,1))::DOUBLE AS balance FROM supplier")(
+    lambda s: cleaning.conform(cleaning.rename(s.source.table("supplier"), {"s_suppkey": "seller", "s_acctbal": "balance", "absent": "x"}), StructType.fromDDL("seller string, balance decimal(12,1)"))
+)
+simple("filter_between_and_latest", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_totalprice BETWEEN 50000 AND 100000 AND CAST(o_orderdate AS DATE) <> DATE '1996-01-02' ORDER BY o_orderdate DESC, o_orderkey LIMIT 1")(
+    lambda s: _or(s).filter(F.col("o_totalprice").between(50000, 100000) & (F.to_date("o_orderdate") != F.lit("1996-01-02").cast("date"))).orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(1).select("o_orderkey", "o_orderdate")
+)
+simple("empty_with_schema", "SELECT n_nationkey, n_name FROM nation LIMIT 0")(lambda s: s.source.table("nation").select("n_nationkey", "n_name").limit(0))
+simple("rule_registry", "SELECT * FROM (VALUES ('customers', 'reject', 2::BIGINT), ('customers', 'warn', 1), ('order_items', 'reject', 5), ('order_payments', 'reject', 4), ('order_reviews', 'reject', 2), ('orders', 'reject', 4), ('orders', 'warn', 1), ('products', 'reject', 2), ('products', 'warn', 1), ('sellers', 'reject', 1)) t(table_name, severity, n)")(
+    lambda s: s.source.spark.createDataFrame([(r.table, r.severity) for r in rules.RULES], "table_name string, severity string").groupBy("table_name", "severity").agg(F.count(F.lit(1)).alias("n"))
+)
+query("chart_categories", f"SELECT category, row_number() OVER (ORDER BY revenue DESC, category) AS place FROM ({_CATEGORY})")(lambda s: views.charted(views.revenue_by_category(s), "revenue", "category").select("category", "place"))
+query("chart_payments_reversed", f"SELECT payment_type, row_number() OVER (ORDER BY total_paid, payment_type) AS place FROM ({_PAYMENTS})")(lambda s: views.charted(views.payment_method_completion(s), "total_paid", "payment_type", True).select("payment_type", "place"))

@@ -90,3 +90,35 @@ def generated(source: Source) -> DataFrame:
     """(day, op, n, keys) of three days of changes; no person is in two days."""
     days = [generator.change_day(source.customers(), d, "2018-10-01").withColumn("day", F.lit(d)) for d in (1, 2, 3)]
     return days[0].unionByName(days[1]).unionByName(days[2]).groupBy("day", "op").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("customer_unique_id").alias("keys"))
+
+
+def batch_runs(source: Source, day: str) -> DataFrame:
+    """(what, n) of the whole batch pipeline from CSV files, run twice: rows of the gold
+    tables, of the logs, and what the second run read, wrote and found to differ."""
+    from . import ops, pipeline
+
+    context = _context(source, "batch", day)
+    spark, landing = source.spark, context.path("landing")
+    made = {"customers": source.customers(), "orders": source.orders(), "order_items": source.raw_items(), "order_payments": source.order_payments(), "products": source.products(), "sellers": source.sellers(), "product_category_translation": source.translation()}
+    for name, df in made.items():
+        times = [c for c, kind in df.dtypes if kind == "timestamp"]
+        text = df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in times}) if times else df
+        generator.write_csv(text, f"{landing}/{name}", files=2)
+    feed = source.changes(day).withColumns({"updated_at": F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"), "customer_id": F.lit(None).cast("string")})
+    generator.write_csv(feed.select(*generator.CHANGE_COLUMNS), f"{landing}/changes")
+    folders = {name: f"{landing}/{name}/*.csv" for name in made}
+    runs = [pipeline.run(Context(spark, context.root, run, day, keep=20), folders, f"{landing}/changes") for run in ("first", "second")]
+    tables = Tables(context)
+    found = {f"gold.{k}": v for k, v in runs[0].items()}
+    found["gold tables that the second run changed"] = sum(runs[0][k] != runs[1][k] for k in runs[0])
+    found["differences of fingerprints"] = len(ops.differences(Context(spark, context.root, "second", day)))
+    log = {(r.run_id, r.task_name): r for r in tables.read("ops.pipeline_runs").collect()}
+    found["tasks that succeeded"] = sum(r.status == "SUCCESS" for r in log.values())
+    for run in ("first", "second"):
+        found[f"{run} run: rows ingested"] = log[run, "ingest"].rows_read
+        found[f"{run} run: changes written"] = log[run, "changes"].rows_written
+    found["duplicate lines"] = int(log["first", "clean"].details["order_items.duplicates"])
+    found["rows with their file and time"] = ingest.bronze(context, "orders").filter("_source_file LIKE '%.csv' AND _ingest_ts IS NOT NULL AND _batch_id = 'first'").count()
+    found["rules logged"] = tables.read("ops.dq_results").filter("run_id = 'first'").count()
+    found["views"] = len(pipeline.register_views(context))
+    return spark.createDataFrame([(k, int(v)) for k, v in found.items()], "what string, n long")

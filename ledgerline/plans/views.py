@@ -153,7 +153,9 @@ def _keep(name: str) -> None:
     setattr(Mart, name, table)
 
 
-for _name in ("items", "attributes", "seeded", "dim_customer", "dim_date", "dim_product", "dim_seller", "dim_order_status", "dim_payment_type", "fact_order", "fact_order_item", "fact_payment"):
+#: The tables that a mart writes.
+KEPT = ("items", "attributes", "seeded", "dim_customer", "dim_date", "dim_product", "dim_seller", "dim_order_status", "dim_payment_type", "fact_order", "fact_order_item", "fact_payment")
+for _name in KEPT:
     _keep(_name)
 
 _MARTS: dict[tuple, Mart] = {}
@@ -307,6 +309,13 @@ def delivery_by_state(s: Star, least_orders: int = 500) -> DataFrame:
     return by.select("customer_state", "orders", "delivered_orders", F.round(F.col("w") / F.col("wn"), 1).alias("avg_days_by_orders"), F.round(F.col("d") / F.col("delivered_orders"), 1).alias("avg_days_by_deliveries"), share(F.col("late_orders"), F.col("orders")).alias("late_pct_of_orders"), share(F.col("late_orders"), F.col("delivered_orders")).alias("late_pct_of_delivered"))
 
 
+def charted(df: DataFrame, measure: str, name: str, reversed_axis: bool = False) -> DataFrame:
+    """The rows of a small report with their place on a chart's axis: the greatest
+    first, or the least where the axis is reversed; ties by name."""
+    order = F.col(measure).asc_nulls_last() if reversed_axis else F.col(measure).desc_nulls_last()
+    return df.withColumn("place", F.row_number().over(Window.orderBy(order, name)))
+
+
 def dashboard_payments(s: Star) -> DataFrame:
     return payment_method_completion(s).filter("payment_type <> 'not_defined'")
 
