@@ -37,7 +37,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, column, documents, staged, uniform
+from .common import WORD, column, documents, looked_up, staged, uniform
+from .sharding import ROWS_PER_PART, with_slots
 
 #: Rows that a block of the reduction tree holds, on average.
 FAN = 256
@@ -56,31 +57,23 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
 
     Sharing by weight, stopping at ``cap`` times a source's size and resharing
     the excess until none is above is the water level at which the capped targets
-    sum to the total: sources reach their caps in order of cap / weight. The
-    windows run over the sources alone, one row each."""
+    sum to the total. It is found from below: the level of all that is left, over
+    the sources that are not above their caps at the level before; each round is one
+    aggregate, and the last one puts no further source above its cap. Sources are
+    numbered in range partitions, so any number of them will do."""
     per = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).cast("long").alias("source_size"))
-    in_order = Window.orderBy(F.col("source").asc_nulls_last())
-    place = (F.row_number().over(in_order) - 1) % len(weights)
-    per = per.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place + 1))
-    per = per.withColumn("cap", F.col("source_size").cast("double") * cap).withColumn("level", F.col("cap") / F.col("w"))
-    by_level = Window.orderBy("level", F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.withColumns(
-        {
-            "total": F.sum("source_size").over(everything).cast("double"),
-            "all_w": F.sum("w").over(everything),
-            "cap_before": F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
-            "w_before": F.coalesce(F.sum("w").over(before), F.lit(0.0)),
-            "pos": F.row_number().over(by_level),
-        }
-    )
-    # The water level if all sources before this one are at their caps; the
-    # level that counts is the first that doesn't pass its own source's cap.
-    per = per.withColumn("water", (F.col("total") - F.col("cap_before")) / (F.col("all_w") - F.col("w_before")))
-    stops = F.min(F.when(F.col("water") <= F.col("level"), F.struct("pos", "water"))).over(everything)
-    per = per.withColumn("water", stops["water"])
-    target = F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("w") * F.col("water")))
+    per = with_slots(per.withColumns({"all": F.lit(0), "none": F.col("source").isNull()}), ["none", "source"], shard="all", slot="place")
+    per = per.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int")))
+    per = staged(per.withColumn("cap", F.col("source_size").cast("double") * cap).select("source", "source_size", "w", "cap"))
+    total = float(per.agg(F.sum("source_size")).first()[0] or 0)
+    water, capped = 0.0, -1
+    while True:
+        full = F.col("cap") < F.col("w") * F.lit(water)
+        now = per.agg(F.count_if(full).alias("n"), F.sum(F.when(full, F.col("cap")).otherwise(0.0)).alias("caps"), F.sum(F.when(full, 0.0).otherwise(F.col("w"))).alias("open")).first()
+        if now.n is None or now.n == capped or not now.open:
+            break
+        water, capped = (total - now.caps) / now.open, now.n
+    target = F.col("cap") if now.n and not now.open else F.least(F.col("cap"), F.col("w") * F.lit(water))
     return per.select("source", "source_size", target.alias("target"))
 
 
@@ -242,10 +235,10 @@ def round_copies(groups: DataFrame, sources: DataFrame, seed: int = 20, fan: int
     return out.unionByName(groups.filter("size = 0").select("doc_id", "source", "size", "m", F.lit(0).cast("long").alias("copies")))
 
 
-def mix_groups(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 20) -> tuple[DataFrame, DataFrame]:
-    """From rows (doc_id, source, size): the groups of equal rows (.., m, copies),
-    and the sources (source, source_size, target)."""
-    narrow = staged(rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m")))
+def mix_groups(groups: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 20) -> tuple[DataFrame, DataFrame]:
+    """From groups of equal rows (doc_id, source, size, m): the same with what they
+    take (.., copies), and the sources (source, source_size, target)."""
+    narrow = staged(groups)
     targets = staged(source_targets(narrow, weights, cap))
     ratios = targets.select("source", "source_size", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0).alias("ratio"))
     return round_copies(narrow, ratios, seed), targets
@@ -261,7 +254,7 @@ def _own_copies() -> Column:
 def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 20) -> DataFrame:
     """From rows (doc_id, source, size): one row each, with source_size, target,
     copies (0 to ``cap``) and taken = copies * size."""
-    copies, targets = mix_groups(rows, weights, cap, seed)
+    copies, targets = mix_groups(rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m")), weights, cap, seed)
     each = copies.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).withColumn("copies", _own_copies())
     t = targets.alias("t")
     n_sources = targets.count()
@@ -280,22 +273,47 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def replicate(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 20) -> DataFrame:
     """``docs``, all columns kept, each row as often as the mix takes it; rows
-    without a word stay once. Texts are shuffled once, by (doc_id, source, size),
-    where rows meet the copies of their group and equal rows are numbered."""
+    without a word stay once. Rows alike in all columns are counted before texts are
+    shuffled, by a hash of the whole row; so neither a row nor an id that is repeated
+    without end gathers in a task. Which rows of an equal id, source and size take
+    one copy more is settled by that hash."""
     names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    plain = [i for c, i in zip(names, inner, strict=True) if "map<" not in docs.schema[c].dataType.simpleString() and "variant" not in docs.schema[c].dataType.simpleString()]
     text = column(docs, "text", "string")
-    key = F.struct(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "source", "string").alias("source"), n_words(text).alias("size"))
-    keyed = docs.withColumns({"__key": key, "__crc": F.crc32(text.cast("binary"))})
-    copies, _ = mix_groups(keyed.select("__key.*"), weights, cap, seed)
-    copies = copies.select(F.struct("doc_id", "source", "size").alias("__key"), F.struct("m", "copies").alias("__took"))
-    met = keyed.join(copies, "__key")
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__crc"))
-    met = met.select(*[F.col(f"`{c}`") for c in names], F.col("__key.size").alias("__size"), "__took", nth.alias("__nth"))
-    m, took = F.col("__took.m"), F.col("__took.copies")
-    own = F.floor(took / m).cast("int") + (F.col("__nth") <= took % m).cast("int")
-    times = F.when(F.col("__size") == 0, F.lit(1)).otherwise(own)
-    met = met.withColumn("__times", times).filter("__times > 0")
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in names])
+    rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner, strict=True)], column(docs, "doc_id", "long").alias("doc_id"), column(docs, "source", "string").alias("source"), n_words(text).alias("size"))
+    # 128 bits know a row.
+    rows = rows.withColumns({"h": F.xxhash64(*plain, F.lit(0)), "h2": F.xxhash64(F.lit(seed), *plain)})
+    like = rows.groupBy("doc_id", "source", "size", "h", "h2").agg(F.count(F.lit(1)).alias("n"))
+    like = staged(like)
+    copies, _ = mix_groups(like.groupBy("doc_id", "source", "size").agg(F.sum("n").alias("m")), weights, cap, seed)
+    took = _shares(like, copies)
+    once = rows.groupBy("h", "h2").agg(F.min_by(F.struct(*inner), F.lit(0)).alias("row"))
+    met = once.join(took.filter("times > 0"), ["h", "h2"])
+    return met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*[F.col(f"row.{i}").alias(c) for c, i in zip(names, inner, strict=True)])
+
+
+def _shares(like: DataFrame, copies: DataFrame) -> DataFrame:
+    """(h, h2, times): what the n rows alike in all columns take of the copies of
+    their group (doc_id, source, size), whose m rows are numbered by (h, h2) in range
+    partitions. A group of one kind of rows takes all; only others are numbered."""
+    key = F.struct("doc_id", "source", "size").alias("key")  # a struct of nulls equals its like
+    total = like.agg(F.sum("n")).first()[0] or 0
+    of = copies.select(key, "m", "copies", F.col("m").alias("rows"))
+    met = staged(looked_up(like.select(key, "size", "h", "h2", "n"), of, ["key"], "rows", total))
+    even = F.when(F.col("size") == 0, F.col("n")).otherwise(F.floor(F.col("copies") / F.col("m")).cast("long") * F.col("n"))
+    whole = met.filter("n = m OR size = 0").select("h", "h2", F.when(F.col("size") == 0, F.col("n")).otherwise(F.col("copies")).alias("times"))
+    mixed = met.filter("n < m AND size > 0").withColumn("grp", F.xxhash64("key"))
+    parts = max(1, math.ceil(mixed.count() / ROWS_PER_PART))
+    ranged = staged(mixed.repartitionByRange(parts, "grp", "h", "h2").withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("grp", "part").agg(F.sum("n").alias("rows"))
+    before = Window.partitionBy("grp").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("grp", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("grp", "part").orderBy("h", "h2").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = ranged.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, ["grp", "part"])
+    first = F.col("start") + F.col("within")
+    more = F.greatest(F.lit(0), F.least(F.col("n"), F.col("copies") % F.col("m") - first))
+    return whole.unionByName(numbered.select("h", "h2", (even + more).alias("times")))
 
 
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,3 +125,40 @@ def test_replicated_rows_are_what_the_mix_takes(spark):
     for r in mixing.mix(mixing._rows(df)).collect():
         want[r.doc_id] += r.copies if r["size"] else 1
     assert Counter(r.doc_id for r in out.collect()) == +want
+
+
+def test_rows_alike_and_rows_of_one_key_share_their_copies(spark):
+    """One id, source and size: 90 rows alike, 60 that differ, against the mix's total."""
+    rows = [(1, "one two three four", "a", "same")] * 90 + [(1, "one two three four", "a", f"v{i}") for i in range(30)]
+    rows += [(1, f"{i} two three four", "a", "other") for i in range(30)] + [(None, "x y", None, "n")] * 4 + [(None, None, None, "empty")] * 3 + [(i, "w " * (1 + i % 9), "b", "v") for i in range(2, 200)]
+    df = spark.createDataFrame(rows, f"{DOCS}, value string")
+    for n in ("__key", "h", "h2", "size", "n", "key", "row", "copy", "times", "c0", "grp"):
+        df = df.withColumn(n, F.lit("own"))
+    out = mixing.replicate(df)
+    assert out.columns == df.columns
+    got = Counter(r.doc_id for r in out.collect())
+    want = Counter()
+    for r in mixing.mix(mixing._rows(df)).collect():
+        want[r.doc_id] += r.copies if r["size"] else 1
+    assert got == +want
+    each = Counter(r.value + r.text for r in out.filter("doc_id = 1").collect())
+    one = [v for k, v in each.items() if not k.startswith("same")]
+    assert max(one) - min(one + [0] * (60 - len(one))) <= 1 and abs(each["sameone two three four"] - 90 * sum(one) / 60) <= 90
+    again = mixing.replicate(df.repartition(5))
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, again.collect()))
+
+
+def test_mixing_nothing(spark):
+    df = spark.createDataFrame([], DOCS)
+    assert mixing.mix(mixing._rows(df)).count() == 0 and mixing.replicate(df).count() == 0
+    some = spark.createDataFrame([(1, None, "a"), (2, "", None)], DOCS)
+    assert mixing.replicate(some).count() == 2 and [r.taken for r in mixing.mix(mixing._rows(some)).collect()] == [0, 0]
+
+
+def test_a_very_long_text_is_sized_and_sharded(spark, tmp_path):
+    long = "wörd " * 400_000
+    spark.createDataFrame([(1, long, "a"), (2, "x", "a")], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in mixing.op4_pivotal_mixing(spark, str(tmp_path)).collect()}
+    assert out[1]["size"] == 400_000 and out[1].source_size == 400_001 and out[1].taken in (400_000, 800_000, 1_200_000, 0)
+    out = {r.doc_id: r for r in sharding.op1_jump_sharding(spark, str(tmp_path)).collect()}
+    assert out[1]["size"] == len(long.encode()) + 8 and out[1].text_crc32 == zlib.crc32(long.encode())
