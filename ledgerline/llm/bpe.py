@@ -28,6 +28,8 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import re
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -47,6 +49,11 @@ QUEUE_BYTES = 2_000_000
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+#: A space between two characters that are not white space.
+_CUTS = re.compile(r"(?<=\S) (?=\S)")
+_NAMES, _DECODED = itemgetter(1), itemgetter(2)
+
+
 class RankQueue:
     """Buckets of entries by rank, under a bitmap of three levels of 64."""
 
@@ -256,17 +263,8 @@ class Codec:
         """Stretches that the pattern can be matched in alone. A space between two
         characters that are not white space begins a match, whatever comes before
         it; so a text can be cut there."""
-        parts = text.split(" ")
-        held, out = parts[0], []
-        for part in parts[1:]:
-            if held and part and not held[-1].isspace() and not part[0].isspace():
-                out.append(held)
-                held = " " + part
-            else:
-                held = f"{held} {part}"
-        if held:
-            out.append(held)
-        return out
+        parts = _CUTS.split(text)
+        return [p for p in (parts[0], *[" " + x for x in parts[1:]]) if p]
 
     def encode_all(self, texts: list[str]) -> list[list[Coded]]:
         """The stretches of each text, coded."""
@@ -337,9 +335,10 @@ def _coded(docs: DataFrame, path: str, pattern: str, digest: bool) -> DataFrame:
                 ids = pa.array([[i for x in c for i in x.ids] for c in coded], pa.list_(pa.int32()))
                 decoded = pa.array([b"".join([x.decoded for x in c]) for c in coded], pa.binary())
                 return pa.RecordBatch.from_arrays([doc_id, ids, decoded], ["doc_id", "ids", "decoded"])
-            counts = [sum([len(x.ids) for x in c]) for c in coded]
-            of_ids = [hashlib.sha256(",".join([x.names for x in c]).encode()).hexdigest() for c in coded]
-            of_text = [hashlib.sha256(b"".join([x.decoded for x in c])).hexdigest() for c in coded]
+            named = [",".join(map(_NAMES, c)) for c in coded]
+            counts = [x.count(",") + 1 if x else 0 for x in named]
+            of_ids = [hashlib.sha256(x.encode()).hexdigest() for x in named]
+            of_text = [hashlib.sha256(b"".join(map(_DECODED, c))).hexdigest() for c in coded]
             return pa.RecordBatch.from_arrays([doc_id, pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return work
