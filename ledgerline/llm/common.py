@@ -63,7 +63,7 @@ class WordIds(dict):
     The table is forgotten once it holds ``most`` words, between batches, so
     that its memory doesn't follow the vocabulary."""
 
-    def __init__(self, most: int = 500_000, seed: int = 0) -> None:
+    def __init__(self, most: int = 200_000, seed: int = 0) -> None:
         super().__init__()
         self.most, self.seed = most, seed
         self._new: list[int] = []

@@ -54,7 +54,7 @@ ENTRIES_PER_TASK = 1_500_000
 #: Shingles that a task verifies at a time, about; 8 bytes each and a signature.
 SHINGLES_PER_TILE = 2_000_000
 #: Sets whose bitmaps a task holds against each other at a time, at most.
-SETS_PER_TILE = 1000
+SETS_PER_TILE = 10_000
 _I64 = np.int64
 
 
