@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import bpe, jaccard, mixing, quality_rules, toxicity
-from ledgerline.llm.common import documents, written
+from ledgerline.llm.common import documents, forget, kept, scratch, written
 
 
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the last one's rows."""
-    docs = documents(spark, sf_dir)
+    """All stages over ``documents``; the last one's rows. What a stage wrote and
+    what it read goes once its result is written."""
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            now = kept(written(stage(spark, docs, sf_dir), name))
+        if last is not None:
+            forget(spark, last)
+        docs = last = now
     return STAGES[-1][1](spark, docs, sf_dir)
