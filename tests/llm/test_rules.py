@@ -1,9 +1,11 @@
 """The rule ledger against brute force, and the pipeline against its parts."""
 
+import hashlib
 import random
 import re
 from collections import Counter
 
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ledgerline.llm import bpe, jaccard, mixing, quality_rules, toxicity
 
+from .test_native import water_fill
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -100,7 +104,23 @@ def test_pipeline_stages_are_their_operators_in_order(spark, tmp_path):
     assert left[3] == Counter({x.doc_id: x.copies for x in mixing.mix(mixing._rows(clean)).collect() if x.copies})
     out = corpus_pipeline.run(spark, sf).collect()
     assert Counter(x.doc_id for x in out) == left[3]
+    # Mixing and tokens again, without the operators: water filled by hand, tiktoken.
+    text, source = {i: t for i, t, _, _ in rows}, {i: s for i, _, _, s in rows}
+    sizes, taken = Counter(), Counter()
+    for i in left[2]:
+        sizes[source[i]] += len(text[i].split())
+    for i, n in left[3].items():
+        assert n <= 3
+        taken[source[i]] += n * len(text[i].split())
+    want = water_fill(sizes, mixing.WEIGHTS)
+    assert all(abs(taken[s] - want[s]) <= 100 for s in want)
     codec = bpe.Codec.load(*bpe.vocabulary())
-    text = dict((i, t) for i, t, _, _ in rows)
-    assert all(x.n_tokens == len(codec.encode(text[x.doc_id])) for x in out[:20])
+    other = tiktoken.Encoding("own", pat_str=bpe.vocabulary()[1], mergeable_ranks=codec.ranks, special_tokens={})
+    for x in out:
+        ids = other.encode_ordinary(text[x.doc_id])
+        assert (x.n_tokens, x.ids_sha256, x.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text[x.doc_id].encode()).hexdigest())
+    empty = df.limit(0)
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
     assert jaccard.WIDTH == 5 and toxicity.REJECT == 0.5
