@@ -48,5 +48,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, list[b
                 out = work(piece, held)
                 if out is not None and out.num_rows:
                     yield out
+        # The worker lives on; what its pool holds unused goes back.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

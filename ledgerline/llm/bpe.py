@@ -40,8 +40,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .arrow_tools import map_texts
 from .common import column, documents
 
-#: Stretches of text that a worker remembers the ids of.
-REMEMBERED = 200_000
+#: Stretches of text that a task remembers the ids of.
+REMEMBERED = 150_000
 #: Stretches longer than this many characters aren't remembered.
 LONGEST_REMEMBERED = 64
 #: Text bytes that one queue serves; arrays of eight numbers each stand for a byte.
@@ -133,7 +133,6 @@ class Codec:
         pairs.sort()
         self._pairs = np.array([p for p, _ in pairs], dtype=np.int64)
         self._merged = np.array([i for _, i in pairs], dtype=np.int64)
-        self._known: dict[str, Coded] = {}
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Codec:
@@ -266,22 +265,22 @@ class Codec:
         parts = _CUTS.split(text)
         return [p for p in (parts[0], *[" " + x for x in parts[1:]]) if p]
 
-    def encode_all(self, texts: list[str]) -> list[list[Coded]]:
-        """The stretches of each text, coded."""
+    def encode_all(self, texts: list[str], known: dict[str, Coded] | None = None) -> list[list[Coded]]:
+        """The stretches of each text, coded; ``known`` is what is remembered from call
+        to call."""
         # What is made here holds no cycles; looking for them takes a third of the time.
         collects = gc.isenabled()
         gc.disable()
         try:
-            return self._encode_all(texts)
+            return self._encode_all(texts, {} if known is None else known)
         finally:
             if collects:
                 gc.enable()
 
-    def _encode_all(self, texts: list[str]) -> list[list[Coded]]:
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
+    def _encode_all(self, texts: list[str], known: dict[str, Coded]) -> list[list[Coded]]:
+        if len(known) > REMEMBERED:
+            known.clear()
         cuts = [self.cut(t) for t in texts]
-        known = self._known
         new = list(dict.fromkeys(p for c in cuts for p in c if p not in known))
         matches = [self.find(p) for p in new]
         distinct = dict.fromkeys(m for found in matches for m in found)
@@ -326,11 +325,11 @@ def _coded(docs: DataFrame, path: str, pattern: str, digest: bool) -> DataFrame:
     rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
 
     def make():
-        codec = _codec(path, pattern)
+        codec, known = _codec(path, pattern), {}  # what is remembered goes with the task
 
         def work(batch: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
             doc_id = batch.column(batch.schema.get_field_index("doc_id"))
-            coded = codec.encode_all([t.decode() if t else "" for t in texts])
+            coded = codec.encode_all([t.decode() if t else "" for t in texts], known)
             if not digest:
                 ids = pa.array([[i for x in c for i in x.ids] for c in coded], pa.list_(pa.int32()))
                 decoded = pa.array([b"".join([x.decoded for x in c]) for c in coded], pa.binary())

@@ -151,6 +151,8 @@ def looked_up(big: DataFrame, small: DataFrame, keys: list[str], rows: str, tota
     rows, fewer than SHARE, are broadcast, so that their rows stay where they are;
     the others, none of them hot, meet by a shuffle."""
     hot = staged(small.filter(F.col(rows) * F.lit(SHARE) > F.lit(big.count() if total is None else total)).drop(rows))
+    if hot.isEmpty():
+        return big.join(small.drop(rows), keys, "left")
     calm = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     rest = small.join(F.broadcast(hot.select(*keys)), keys, "left_anti").drop(rows)
     return big.join(F.broadcast(hot), keys).unionByName(calm.join(rest, keys, "left"))

@@ -530,6 +530,9 @@ def _windows(members: DataFrame, num: int, den: int, most: int) -> DataFrame:
     neighbouring size bands of ratio den / num, which hold each pair that can link
     (rounding of the logarithm may put it one band further apart)."""
     weight = members.groupBy("root").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("rows")).filter(F.col("weight") > most)
+    weight = written(weight, "weights")
+    if weight.isEmpty():
+        return members.select(F.col("root").alias("grp"), "set_id", F.col("n").alias("w"), F.lit(0).cast("long").alias("prefer"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) if den > num else 1.0)).cast("long")
     known = looked_up(members, weight, ["root"], "rows").withColumn("band", band)
     whole = known.filter("weight IS NULL").select(F.col("root").alias("grp"), "set_id", F.col("n").alias("w"), F.lit(0).cast("long").alias("prefer"))
