@@ -48,3 +48,13 @@ def matched(earlier: DataFrame, later: DataFrame, within: str = "1 hour") -> Dat
     b = later.select(F.col("event_id").alias("later_id"), "user_id", "ts", "event_type")
     near = F.expr(f"user = user_id AND kind <> event_type AND ts > at AND ts <= at + INTERVAL {within}")
     return a.join(b, near).select("event_id", "later_id", "user_id")
+
+
+def running(df: DataFrame, name: str, trigger: str = "available", sink: str = "memory", mode: str = "append", **options: str):
+    """A started query. ``available`` takes what is there and ends; ``continuous`` (or
+    ``continuous 5 seconds``, the time between its checkpoints) takes row by row, for
+    projections and filters of sources that can; anything else is the time between
+    micro-batches."""
+    first, _, rest = trigger.partition(" ")
+    how = {"availableNow": True} if first == "available" else {"continuous": rest or "1 second"} if first == "continuous" else {"processingTime": trigger}
+    return df.writeStream.format(sink).queryName(name).outputMode(mode).options(**options).trigger(**how).start()

@@ -1,6 +1,7 @@
 """Tables, ingestion, the batch pipeline, logs, streams and SQL files."""
 
 import json
+import time
 from pathlib import Path
 
 import pytest
@@ -308,6 +309,24 @@ def test_a_stream_is_matched_with_a_stream(spark, tmp_path):
     assert [tuple(r) for r in fed(spark, tmp_path / "matched", batches, both)] == [("1", "3", 1)]
 
 
+def test_rows_are_taken_one_by_one(spark):
+    rows = spark.readStream.format("rate").option("rowsPerSecond", 50).option("numPartitions", 1).load().filter("value % 2 = 0").select("value")
+    query = events.running(rows, "continuous_rows", "continuous 1 second")
+    for _ in range(60):
+        if spark.table("continuous_rows").count() > 20:
+            break
+        time.sleep(0.5)
+    query.stop()
+    got = sorted(r.value for r in spark.table("continuous_rows").collect())
+    assert len(got) > 20 and got == list(range(0, 2 * len(got), 2))
+
+
+def test_what_is_there_is_taken_and_the_query_ends(spark, tmp_path):
+    spark.range(30).write.parquet(str(tmp_path / "in"))
+    query = events.running(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), "taken")
+    assert query.awaitTermination(60) and spark.table("taken").count() == 30
+
+
 def test_a_mart_is_made_once_and_anew_when_files_change(spark, tmp_path):
     from ledgerline.plans import views
 
