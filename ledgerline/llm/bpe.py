@@ -11,7 +11,9 @@ pre-tokens.
 
 One queue serves all pre-tokens of a piece of the input at once: lists of
 different pre-tokens don't touch, so what waits in a bucket can be merged in one
-go of array operations, whichever pre-tokens it comes from. Equal stretches of
+go of array operations, whichever pre-tokens it comes from. Where buckets hold few
+positions, several are taken at once, and of each pre-token the lowest rank among
+them is merged; what it has at the other ranks goes back. Equal stretches of
 text are merged once per task and then looked up.
 
 ``tiktoken``'s rule is reproduced: a pre-token that is itself a vocabulary entry
@@ -29,8 +31,8 @@ import base64
 import gc
 import hashlib
 import re
+from itertools import chain
 from operator import itemgetter
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +46,21 @@ from .common import column, documents
 REMEMBERED = 150_000
 #: Stretches longer than this many characters aren't remembered.
 LONGEST_REMEMBERED = 64
-#: Text bytes that one queue serves; arrays of eight numbers each stand for a byte.
-QUEUE_BYTES = 2_000_000
+#: Positions that are merged in one go, about: of as many ranks as that takes.
+WIDE = 4096
+#: Text bytes that one queue serves; arrays of 21 bytes stand for a byte.
+QUEUE_BYTES = 4_000_000
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
-#: A space between two characters that are not white space.
-_CUTS = re.compile(r"(?<=\S) (?=\S)")
-_NAMES, _DECODED = itemgetter(1), itemgetter(2)
+#: Before a space between two characters that are not white space.
+_CUTS = re.compile(r"(?<=\S)(?= \S)")
+_NAMES, _DECODED = itemgetter(0), itemgetter(1)
+
+
+def _ids(coded: list[Coded]) -> list[int]:
+    """The ids of the stretches of one text."""
+    return [int(x) for x in ",".join(map(_NAMES, coded)).split(",")] if coded else []
 
 
 class RankQueue:
@@ -108,12 +117,8 @@ class RankQueue:
         return rank, self.buckets.pop(rank)
 
 
-class Coded(NamedTuple):
-    """A stretch of text: its ids, these in decimal, and the bytes they decode to."""
-
-    ids: tuple[int, ...]
-    names: str
-    decoded: bytes
+#: A stretch of text: its ids in decimal, and the bytes they decode to.
+Coded = tuple[str, bytes]
 
 
 class Codec:
@@ -122,8 +127,12 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.vocabulary = {i: b for b, i in ranks.items()}
-        self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.span = max(self.vocabulary) + 1
+        self.names = {i: str(i) for i in self.vocabulary}
+        self.name_sizes, self.token_sizes = np.zeros(self.span, dtype=np.int64), np.zeros(self.span, dtype=np.int64)
+        for i, token in self.vocabulary.items():
+            self.name_sizes[i], self.token_sizes[i] = len(self.names[i]) + 1, len(token)
+        self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         pairs = [
             (left * self.span + right, i)
             for token, i in ranks.items()
@@ -142,7 +151,7 @@ class Codec:
 
     def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of ids; -1 for those that have none."""
-        key = left * self.span + right
+        key = left.astype(np.int64) * self.span + right
         at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
         return np.where(self._pairs[at] == key, self._merged[at], -1) if len(self._pairs) else np.full(len(key), -1)
 
@@ -196,17 +205,30 @@ class Codec:
         return tuple(out)
 
     def merge_all(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of many pre-tokens, none of them empty, by one queue."""
+        """The ids of many pre-tokens, none of them empty."""
         if not pieces:
             return []
+        ids, stops, again = self._queued(pieces)
+        ids = ids.tolist()
+        out = [tuple(ids[a:b]) for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+        for i in again:
+            out[i] = self.merge(pieces[i])
+        # A pre-token that is an entry itself needs no merges to be that id.
+        return [(whole,) if (whole := self.ranks.get(p)) is not None else x for p, x in zip(pieces, out, strict=True)]
+
+    def _queued(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, set[int]]:
+        """(ids, where each pre-token's end, pre-tokens to be merged by themselves), by
+        one queue."""
         ends = np.cumsum([len(p) for p in pieces])
         starts = np.concatenate([[0], ends[:-1]])
         n = int(ends[-1])
-        token = self.of_byte[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        token = self.of_byte[np.frombuffer(b"".join(pieces), dtype=np.uint8)].astype(np.int32)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends - 1], before[starts] = -1, -1
-        waits = np.full(n, -1, dtype=np.int64)
+        waits = np.full(n, -1, dtype=np.int32)
         alive = np.ones(n, dtype=bool)
+        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), np.diff(ends, prepend=0))
+        lowest = np.zeros(len(pieces), dtype=np.int32)
         queue, again = RankQueue(), set()
 
         def offer(at: np.ndarray) -> np.ndarray:
@@ -218,52 +240,84 @@ class Codec:
             queue.push_all(rank[rank >= 0], at[rank >= 0])
             return at
 
-        offer(np.arange(n))
-        while (found := queue.pop()) is not None:
-            rank, held = found
-            if len(held) == 1:  # in order, each position once
-                at = held[0][waits[held[0]] == rank]
-            else:
-                at = np.concatenate(held)
-                at = np.unique(at[waits[at] == rank])
-            if not len(at):
-                continue
+        offer(np.arange(n, dtype=np.int32))
+        wide = WIDE
+        while True:
+            # Ranks in order, until enough positions wait; of each pre-token only the
+            # lowest counts, its other ones go back.
+            ranks, held, size = [], [], 0
+            while size < wide and (found := queue.pop()) is not None:
+                rank, arrays = found
+                at = arrays[0] if len(arrays) == 1 else np.unique(np.concatenate(arrays))
+                at = at[waits[at] == rank]
+                if len(at):
+                    ranks.append(rank)
+                    held.append(at)
+                    size += len(at)
+            if not held:
+                break
+            at, rank = np.concatenate(held), np.repeat(np.array(ranks, dtype=np.int32), [len(x) for x in held])
+            own = owner[at]
+            lowest[own[::-1]] = rank[::-1]
+            if len(held) > 1:
+                later = lowest[own] != rank
+                if later.any():
+                    queue.push_all(rank[later], at[later])
+                    at, rank = at[~later], rank[~later]
+                wide = max(1, wide // 2) if 2 * len(at) < size else min(WIDE, 2 * wide)
+                order = np.argsort(at, kind="stable")
+                at, rank = at[order], rank[order]
+            elif size < wide:
+                wide = min(WIDE, 2 * wide)
             # Of pairs that share a node, the first, third, ... of a run merge.
             touching = after[at[:-1]] == at[1:]
             if touching.any():
                 place = np.arange(len(at))
                 first = np.concatenate([[True], ~touching])
-                at = at[(place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0]
+                odd = (place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0
+                at, rank = at[odd], rank[odd]
             gone = after[at]
             onward = after[gone]
             # The pair that stands for a moment between two merges side by side.
             beside = np.flatnonzero(at[1:] == onward[:-1])
             if len(beside):
-                passing = self._rank_of(np.full(len(beside), rank), token[at[beside + 1]])
-                again.update(np.searchsorted(ends, at[beside[(passing >= 0) & (passing < rank)]], side="right").tolist())
+                passing = self._rank_of(rank[beside], token[at[beside + 1]])
+                again.update(owner[at[beside[(passing >= 0) & (passing < rank[beside])]]].tolist())
             token[at] = rank
             alive[gone], waits[gone] = False, -1
             after[at] = onward
             before[onward[onward >= 0]] = at[onward >= 0]
             left = before[at]
             fresh = offer(np.unique(np.concatenate([at, left[left >= 0]])))
-            lower = fresh[(waits[fresh] >= 0) & (waits[fresh] < rank)]
+            lower = fresh[(waits[fresh] >= 0) & (waits[fresh] < lowest[owner[fresh]])]
             if len(lower):
-                again.update((np.searchsorted(ends, lower, side="right")).tolist())
-        ids = token[alive].tolist()
-        stops = np.cumsum(np.add.reduceat(alive.astype(np.int64), starts)).tolist()
-        out = [tuple(ids[a:b]) for a, b in zip([0, *stops[:-1]], stops, strict=True)]
-        for i in again:
-            out[i] = self.merge(pieces[i])
-        # A pre-token that is an entry itself needs no merges to be that id.
-        return [(whole,) if (whole := self.ranks.get(p)) is not None else x for p, x in zip(pieces, out, strict=True)]
+                again.update(owner[lower].tolist())
+        return token[alive], np.cumsum(np.add.reduceat(alive.astype(np.int64), starts)), again
+
+    def _coded_matches(self, matches: list[bytes]) -> list[Coded]:
+        """Each match coded. Ids of all are written and decoded at once, and cut up."""
+        whole = list(map(self.ranks.get, matches))
+        rest = [m for m, i in zip(matches, whole, strict=True) if i is None]
+        merged = iter(())
+        if rest:
+            ids, stops, again = self._queued(rest)
+            names, tokens = ",".join(map(self.names.__getitem__, held := ids.tolist())), b"".join(map(self.vocabulary.__getitem__, held))
+            name_ends, token_ends = (np.cumsum(x[ids])[stops - 1] for x in (self.name_sizes, self.token_sizes))
+            cuts = [x.tolist() for x in (name_ends, token_ends)]
+            out = [(names[a : b - 1], tokens[c:d]) for a, b, c, d in zip([0, *cuts[0]], cuts[0], [0, *cuts[1]], cuts[1], strict=False)]
+            for i in again:
+                out[i] = self._coded(self.merge(rest[i]))
+            merged = iter(out)
+        return [next(merged) if i is None else (self.names[i], self.vocabulary[i]) for i in whole]
+
+    def _coded(self, ids: tuple[int, ...]) -> Coded:
+        return ",".join(map(self.names.__getitem__, ids)), self.decode(ids)
 
     def cut(self, text: str) -> list[str]:
         """Stretches that the pattern can be matched in alone. A space between two
         characters that are not white space begins a match, whatever comes before
         it; so a text can be cut there."""
-        parts = _CUTS.split(text)
-        return [p for p in (parts[0], *[" " + x for x in parts[1:]]) if p]
+        return _CUTS.split(text) if text else []
 
     def encode_all(self, texts: list[str], known: dict[str, Coded] | None = None) -> list[list[Coded]]:
         """The stretches of each text, coded; ``known`` is what is remembered from call
@@ -281,20 +335,25 @@ class Codec:
         if len(known) > REMEMBERED:
             known.clear()
         cuts = [self.cut(t) for t in texts]
-        new = list(dict.fromkeys(p for c in cuts for p in c if p not in known))
-        matches = [self.find(p) for p in new]
-        distinct = dict.fromkeys(m for found in matches for m in found)
-        merged = dict(zip(distinct, self.merge_all([m.encode() for m in distinct]), strict=True))
-        fresh = {}
+        new = list(set(chain.from_iterable(cuts)).difference(known))
+        matches = list(map(self.find, new))
+        distinct = list(set(chain.from_iterable(matches)))
+        merged = dict(zip(distinct, self._coded_matches(list(map(str.encode, distinct))), strict=True))
         for piece, found in zip(new, matches, strict=True):
-            ids = merged[found[0]] if len(found) == 1 else tuple(i for m in found for i in merged[m])
-            fresh[piece] = Coded(ids, ",".join(map(str, ids)), self.decode(ids))
-        out = [[known.get(p) or fresh[p] for p in c] for c in cuts]
-        known.update((p, x) for p, x in fresh.items() if len(p) <= LONGEST_REMEMBERED)
+            if len(found) == 1:
+                known[piece] = merged[piece]
+            else:
+                parts = [merged[m] for m in found]
+                known[piece] = (",".join(map(_NAMES, parts)), b"".join(map(_DECODED, parts)))
+        coded = known.__getitem__
+        out = [list(map(coded, c)) for c in cuts]
+        for piece in new:
+            if len(piece) > LONGEST_REMEMBERED:
+                del known[piece]
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for coded in self.encode_all([text])[0] for i in coded.ids]
+        return _ids(self.encode_all([text])[0])
 
     def decode(self, ids: list[int] | tuple[int, ...]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
@@ -331,8 +390,8 @@ def _coded(docs: DataFrame, path: str, pattern: str, digest: bool) -> DataFrame:
             doc_id = batch.column(batch.schema.get_field_index("doc_id"))
             coded = codec.encode_all([t.decode() if t else "" for t in texts], known)
             if not digest:
-                ids = pa.array([[i for x in c for i in x.ids] for c in coded], pa.list_(pa.int32()))
-                decoded = pa.array([b"".join([x.decoded for x in c]) for c in coded], pa.binary())
+                ids = pa.array(list(map(_ids, coded)), pa.list_(pa.int32()))
+                decoded = pa.array([b"".join(map(_DECODED, c)) for c in coded], pa.binary())
                 return pa.RecordBatch.from_arrays([doc_id, ids, decoded], ["doc_id", "ids", "decoded"])
             named = [",".join(map(_NAMES, c)) for c in coded]
             counts = [x.count(",") + 1 if x else 0 for x in named]
