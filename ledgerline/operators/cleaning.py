@@ -35,11 +35,14 @@ def cast_numerics(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return df.withColumns(held) if held else df
 
 
-def latest_per_key(df: DataFrame, keys: Iterable[str], order_by: str | None = None, tiebreak: str | Iterable[str] = ()) -> DataFrame:
+def latest_per_key(df: DataFrame, keys: Iterable[str], order_by: str | None = None, tiebreak: str | Iterable[str] = (), spread: Iterable[str] | None = None) -> DataFrame:
     """One row per key: the latest by ``order_by``, then by each ``tiebreak``; a value
     beats null. What ties even then is settled by the row's other columns, so the
-    result does not depend on where rows lie."""
+    result does not depend on where rows lie. Rows are dealt out by ``spread``, all or
+    some of the keys, before any sort; if it is empty, they lie so already."""
     keys = list(keys)
+    spread = keys if spread is None else list(spread)
+    df = df.repartition(*spread) if spread else df
     then = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak or ())
     ranked = [c for c in (order_by, *then) if c and c in df.columns]
     rest = [c for c in df.columns if c not in keys and c not in ranked]

@@ -83,8 +83,8 @@ def build_star(context: Context) -> dict[str, int]:
     versions = gold("dim_customer")
     out["dim_customer"] = versions.count()
     out["fact_order"] = tables.replace("gold.fact_order", star.fact_order(orders, items, customers, versions, gold("dim_order_status")))
-    out["fact_order_item"] = tables.replace("gold.fact_order_item", star.fact_order_item(items, orders, customers, versions, gold("dim_product"), gold("dim_seller")))
-    out["fact_payment"] = tables.replace("gold.fact_payment", star.fact_payment(payments, orders, customers, versions, gold("dim_payment_type")))
+    out["fact_order_item"] = tables.replace("gold.fact_order_item", star.fact_order_item(items, gold("fact_order"), gold("dim_product"), gold("dim_seller")))
+    out["fact_payment"] = tables.replace("gold.fact_payment", star.fact_payment(payments, gold("fact_order"), gold("dim_payment_type")))
     return out
 
 
@@ -100,6 +100,9 @@ class Gold(Star):
         super().__init__(Silver(context), context.run_date)
         for name, df in gold_tables(context).items():
             self.__dict__[name] = df
+        for name, whole in (("order_lines", "fact_order_item"), ("order_payments", "fact_payment")):
+            if whole in self.__dict__:
+                self.__dict__[name] = self.__dict__[whole]
 
 
 def register_views(context: Context) -> list[str]:
