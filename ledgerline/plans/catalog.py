@@ -218,7 +218,7 @@ query("dashboard_delivery_by_state", f"""SELECT customer_state, CAST(sum(orders)
   {_pct('sum(late_orders)', 'sum(orders)')} AS late_pct_of_orders, {_pct('sum(late_orders)', 'sum(delivered_orders)')} AS late_pct_of_delivered
 FROM ({_DELIVERY}) GROUP BY customer_state HAVING sum(orders) >= 500""")(views.delivery_by_state)
 query("dashboard_measures", f"""SELECT order_status, {_d('sum(item_revenue)')} AS total_revenue, {_d('max(item_revenue)')} AS largest_line, count(*) AS lines, count(DISTINCT order_id) AS orders,
-  {_d('round(CAST(sum(item_revenue) AS DECIMAL(20,2)) / count(DISTINCT order_id), 2)')} AS revenue_per_order FROM fact_order_item GROUP BY order_status""")(lambda s: views.measured(s.fact_order_item, ["order_status"], list(views.MEASURES)))
+  {_d('round(CAST(sum(item_revenue) AS DECIMAL(20,2)) / count(DISTINCT order_id), 2)')} AS revenue_per_order FROM fact_order_item GROUP BY order_status""")(lambda s: views.measured(s.order_lines, ["order_status"], list(views.MEASURES)))
 query("question_repeat_by_segment", f"""SELECT v_segment AS segment, count(DISTINCT customer_unique_id) AS customers, count(*) AS orders, {_d('sum(order_total)')} AS revenue FROM fact_order GROUP BY 1""")(
     lambda s: views.order_point_in_time(s).groupBy(F.col("segment_at_order_time").alias("segment")).agg(F.count_distinct("customer_unique_id").alias("customers"), F.count(F.lit(1)).alias("orders"), F.sum("order_total").alias("revenue"))
 )
