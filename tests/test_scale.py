@@ -6,10 +6,11 @@ import shutil
 from pyspark.sql import functions as F
 
 from ledgerline.operators import cleaning, star
-from ledgerline.plans import views
+from ledgerline.plans import probe, views
 from ledgerline.plans.catalog import QUERIES
+from ledgerline.sources import ingest
 from ledgerline.sources.adapters import Source
-from ledgerline.sources.tables import Tables
+from ledgerline.sources.tables import Context, Tables
 
 SMALL = "/root/testdata/sf0.001"
 ITEMS = "order_id string, order_item_id int, product_id string, seller_id string, shipping_limit_date timestamp, price decimal(10,2), freight_value decimal(10,2)"
@@ -93,3 +94,17 @@ def test_a_seller_that_is_there_twice_has_lines_twice_in_one_row(spark, tmp_path
     once, twice = rows(SMALL), rows(folder(tmp_path, spark, supplier=sellers.unionAll(sellers)))
     assert once.keys() == twice.keys()
     assert all((round(2 * v, 2), n, 2 * m) == (round(twice[k][0], 2), *twice[k][1:]) for k, (v, n, m) in once.items())
+
+
+def test_a_table_is_cleaned_once_and_the_probe_restores_it(spark, tmp_path):
+    context = Context(spark, str(tmp_path / "root"), "probed", "2020-01-01")
+    raw = Source(spark, SMALL).order_items().select(*[F.col(c).cast("string") for c in ingest.ENTITIES["order_items"].columns])
+    stamps = {ingest.RESCUED: F.lit(None).cast("string"), "_source_file": F.lit("made"), "_ingest_ts": F.current_timestamp(), "_batch_id": F.lit("made")}
+    Tables(context).replace("bronze.order_items", raw.withColumns(stamps))
+    cleaned = ingest.clean_table(context, "order_items")
+    assert cleaned.read == cleaned.written == raw.count() and "Window" not in plan(cleaned.results)
+    assert not any((tmp_path / "root" / "_stages").iterdir())
+    probe.probe_quarantine(context)
+    for name in ("bronze.order_items", "silver.order_items", "silver.quarantine_order_items"):
+        *_, before, _, after = (Tables(context).commit(name, n).folders for n in Tables(context).history(name))
+        assert before == after
