@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -34,12 +34,20 @@ def orphans(df: DataFrame, column: str, parent: DataFrame, key: str) -> DataFram
     return df.filter(F.col(column).isNotNull()).join(parent.select(F.col(key).alias("__key")), F.col(column) == F.col("__key"), "left_anti")
 
 
-def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """(constraint, violations) of every key and reference."""
-    found = []
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("constraint_name"), "violations")
+def counted(df: DataFrame, column: str) -> DataFrame:
+    """(value, n): how many rows hold each value; null refers to nothing."""
+    return df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def constraint_report(tables: dict[str, DataFrame], references: Mapping[tuple[str, str], DataFrame] | None = None) -> DataFrame:
+    """(constraint, violations) of every key and reference. What refers is counted by
+    value before it meets what it refers to; ``references`` gives, by table and column,
+    such counts (value, n) that are known otherwise."""
+    found, known = [], references or {}
+    named = lambda df, name, n: df.agg(n.alias("violations")).select(F.lit(name).alias("constraint_name"), "violations")
     for table, key in PRIMARY_KEYS.items():
-        found.append(count(duplicate_keys(tables[table], key), f"pk_{table}"))
+        found.append(named(duplicate_keys(tables[table], key), f"pk_{table}", F.count(F.lit(1))))
     for table, column, parent, key in FOREIGN_KEYS:
-        found.append(count(orphans(tables[table], column, tables[parent], key), f"fk_{table}_{column}"))
+        values = known[table, column] if (table, column) in known else counted(tables[table], column)
+        found.append(named(orphans(values, "value", tables[parent], key), f"fk_{table}_{column}", F.coalesce(F.sum("n"), F.lit(0))))
     return reduce(DataFrame.unionByName, found)

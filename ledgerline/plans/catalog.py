@@ -396,7 +396,7 @@ simple("date_parts", "SELECT o_orderkey, CAST(quarter(o_orderdate) AS INTEGER) A
 simple("json_field", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")(lambda s: s.source.table("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")))
 
 # --- constraints and fingerprints -----------------------------------------
-query("constraint_report", "SELECT c AS constraint_name, CAST(0 AS BIGINT) AS violations FROM (SELECT unnest([" + ", ".join([f"'pk_{t}'" for t in checks.PRIMARY_KEYS] + [f"'fk_{t}_{c}'" for t, c, _, _ in checks.FOREIGN_KEYS]) + "]) AS c)")(lambda s: checks.constraint_report(s.tables()))
+query("constraint_report", "SELECT c AS constraint_name, CAST(0 AS BIGINT) AS violations FROM (SELECT unnest([" + ", ".join([f"'pk_{t}'" for t in checks.PRIMARY_KEYS] + [f"'fk_{t}_{c}'" for t, c, _, _ in checks.FOREIGN_KEYS]) + "]) AS c)")(lambda s: checks.constraint_report(*s.checked()))
 query("fingerprint", f"""SELECT 'fact_order' AS table_name, count(*) AS row_count, {_d('sum(order_total)')} AS measure FROM fact_order UNION ALL SELECT 'fact_order_item', count(*), {_d('sum(item_revenue)')} FROM fact_order_item
 UNION ALL SELECT 'fact_payment', count(*), {_d('sum(payment_value)')} FROM fact_payment UNION ALL SELECT 'dim_customer', count(*), {_d('sum(CAST(lifetime_value AS DECIMAL(20,2)))')} FROM dim_customer""")(
     lambda s: ops.fingerprint({k: v for k, v in s.tables().items() if k in ("fact_order", "fact_order_item", "fact_payment", "dim_customer")}).select("table_name", "row_count", F.coalesce(*[F.col("measure_sums")[m] for m in ("order_total", "item_revenue", "payment_value", "lifetime_value")]).alias("measure"))
@@ -429,14 +429,14 @@ SELECT customer_unique_id, versions, current_versions, coalesce(n, 0) AS overlap
 FROM per LEFT JOIN laps USING (customer_unique_id) WHERE current_versions <> 1 OR n > 0""")(lambda s: scd2.integrity(_doubled(s)))
 
 
-def _spoilt(s: Mart) -> dict[str, DataFrame]:
+def _spoilt(s: Mart) -> tuple[dict[str, DataFrame], dict[tuple[str, str], DataFrame]]:
     """Tables with keys that repeat or are null, and references to nothing."""
-    tables = dict(s.tables())
+    tables, references = s.checked()
     tables["dim_date"] = tables["dim_date"].unionByName(tables["dim_date"].filter("day_of_month = 1"))
     k = F.col("order_id").cast("long")
     tables["fact_order"] = tables["fact_order"].withColumns({"customer_sk": F.when(k % 7 == 0, F.lit(-1)).otherwise(F.col("customer_sk")), "order_id": F.when(k % 11 != 0, F.col("order_id"))})
     tables["dim_seller"] = tables["dim_seller"].filter(F.col("seller_id").cast("long") % 5 != 0)
-    return tables
+    return tables, references
 
 
 query("constraint_violations", """SELECT * FROM (
@@ -444,7 +444,7 @@ query("constraint_violations", """SELECT * FROM (
   UNION ALL SELECT 'pk_fact_order', (SELECT CAST(count(*) > 0 AS BIGINT) FROM c_orders WHERE CAST(order_id AS BIGINT) % 11 = 0)
   UNION ALL SELECT 'fk_fact_order_customer_sk', (SELECT count(*) FROM c_orders WHERE CAST(order_id AS BIGINT) % 7 = 0)
   UNION ALL SELECT 'fk_fact_order_item_seller_sk', (SELECT count(*) FROM c_items JOIN c_sellers USING (seller_id) WHERE CAST(seller_id AS BIGINT) % 5 = 0)) WHERE violations > 0""")(
-    lambda s: checks.constraint_report(_spoilt(s)).filter("violations > 0")
+    lambda s: checks.constraint_report(*_spoilt(s)).filter("violations > 0")
 )
 
 # --- ingestion, tables, streams, generated feeds, from end to end ----------

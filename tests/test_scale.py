@@ -5,7 +5,7 @@ import shutil
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import cleaning, star
+from ledgerline.operators import checks, cleaning, star
 from ledgerline.plans import probe, views
 from ledgerline.plans.catalog import QUERIES
 from ledgerline.sources import ingest
@@ -106,6 +106,30 @@ def test_facts_take_the_version_that_the_order_has(spark, tmp_path):
         assert mart.fresh(name).join(mart.fact_order.withColumnRenamed("customer_sk", "own"), "order_id").filter(~F.col("own").eqNullSafe(F.col("customer_sk"))).isEmpty()
 
 
+def test_constraints_do_not_deal_out_lines_by_product(spark, tmp_path):
+    at = folder(tmp_path, spark)
+    held = {r.constraint_name: r.violations for r in QUERIES["constraint_violations"](spark, at).collect()}
+    assert {"line_keys", "fact_payment"} <= made(spark, at) and not made(spark, at) & {"fact_order_item", "order_lines"}
+    mart = views.mart(spark, at)
+    assert "product_id" not in "".join(re.findall(r"hashpartitioning\((.*?),", plan(mart.fresh("line_keys"))))
+    of_facts = mart.tables()
+    of_facts["dim_seller"] = of_facts["dim_seller"].filter("seller_id % 5 <> 0")
+    of_facts["dim_product"] = of_facts["dim_product"].filter("product_id % 3 <> 0")
+    tables, references = mart.checked()
+    found = lambda *x: {r.constraint_name: r.violations for r in checks.constraint_report(*x).collect()}
+    assert found(tables | {n: of_facts[n] for n in ("dim_seller", "dim_product")}, references) == found(of_facts)
+    lost = mart.fact_order_item.filter("product_sk IS NOT NULL").join(of_facts["dim_product"], "product_sk", "left_anti").count()
+    assert found(of_facts)["fk_fact_order_item_product_sk"] == lost > 0 and held["fk_fact_order_item_seller_sk"] > 0
+
+
+def test_constraints_find_lines_of_a_product_that_is_there_twice(spark, tmp_path):
+    part = spark.read.parquet(f"{SMALL}/part.parquet")
+    at = folder(tmp_path, spark, part=part.unionAll(part.filter("p_partkey = 7")))
+    held = {r.constraint_name: r.violations for r in QUERIES["constraint_report"](spark, at).filter("violations > 0").collect()}
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet").filter("l_partkey = 7").select("l_orderkey", "l_linenumber").distinct().count()
+    assert held.keys() == {"pk_dim_product", "pk_fact_order_item"} and 0 < held["pk_fact_order_item"] <= lines
+
+
 def test_a_seller_that_is_there_twice_has_lines_twice_in_one_row(spark, tmp_path):
     sellers = spark.read.parquet(f"{SMALL}/supplier.parquet")
     rows = lambda at: {(r.seller_id, r.year_month): (r.revenue, r.orders, r.order_lines) for r in QUERIES["v_seller_monthly_performance"](spark, at).collect()}
