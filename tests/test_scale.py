@@ -150,3 +150,20 @@ def test_a_table_is_cleaned_once_and_the_probe_restores_it(spark, tmp_path):
     for name in ("bronze.order_items", "silver.order_items", "silver.quarantine_order_items"):
         *_, before, _, after = (Tables(context).commit(name, n).folders for n in Tables(context).history(name))
         assert before == after
+
+
+def test_clean_rows_are_written_again_only_where_some_are_rejected(spark, tmp_path, monkeypatch):
+    context, written = Context(spark, str(tmp_path / "root"), "adopted", "2020-01-01"), []
+    real = Tables._written
+    monkeypatch.setattr(Tables, "_written", lambda self, name, df: written.append(name) or real(self, name, df))
+    columns = ", ".join(f"{c} string" for c in ingest.ENTITIES["sellers"].columns)
+    stamps = {ingest.RESCUED: F.lit(None).cast("string"), "_source_file": F.lit("made"), "_ingest_ts": F.current_timestamp(), "_batch_id": F.lit("made")}
+    good, bad = ("s1", "1", " Rio ", "RJ"), (None, "2", "x", "SP")
+    for rows, kept, out, again in (([good], 1, 0, False), ([good, bad], 1, 1, True), ([good], 1, 0, False)):
+        Tables(context).replace("bronze.sellers", spark.createDataFrame(rows, columns).withColumns(stamps))
+        written.clear()
+        cleaned = ingest.clean_table(context, "sellers")
+        assert (cleaned.read, cleaned.written, cleaned.quarantined) == (len(rows), kept, out)
+        assert ("silver.sellers" in written, [r.seller_city for r in Tables(context).read("silver.sellers").collect()]) == (again, ["rio"])
+        assert Tables(context).count("silver.quarantine_sellers") == out and not any((tmp_path / "root" / "_stages").iterdir())
+        assert {r.rows_failed for r in cleaned.results.collect()} == {out}
