@@ -100,9 +100,10 @@ class Gold(Star):
         super().__init__(Silver(context), context.run_date)
         for name, df in gold_tables(context).items():
             self.__dict__[name] = df
-        for name, whole in (("order_lines", "fact_order_item"), ("order_payments", "fact_payment")):
-            if whole in self.__dict__:
-                self.__dict__[name] = self.__dict__[whole]
+        if "fact_order_item" in self.__dict__:
+            self.__dict__["order_lines"] = self.__dict__["fact_order_item"]
+        if "fact_payment" in self.__dict__:
+            self.__dict__["order_payments"] = star.counting_orders(self.__dict__["fact_payment"])
 
 
 def register_views(context: Context) -> list[str]:

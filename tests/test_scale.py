@@ -130,6 +130,20 @@ def test_completion_takes_payments_and_orders_only(spark, tmp_path):
     assert made(spark, at) == {"order_payments"}
 
 
+def test_orders_of_a_payment_type_are_counted_without_dealing_out_payments(spark, tmp_path):
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet")
+    again = orders.filter("o_orderkey % 3 = 0").withColumns({"o_orderstatus": F.lit("P"), "o_orderpriority": F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority"))})
+    at = folder(tmp_path, spark, orders=orders.unionAll(again))
+    found = QUERIES["v_payment_method_completion"](spark, at)
+    mart = views.mart(spark, at)
+    assert exchanges(found) == 1 and "order_id" not in plan(found) and exchanges(mart.fresh("order_payments")) == 2
+    by = mart.order_payments.groupBy("payment_type").agg(F.count_distinct("order_id").alias("n"), F.count_distinct(F.when(F.col("order_completed"), F.col("order_id"))).alias("c"))
+    rows = {r.payment_type: (r.orders, r.completed_orders) for r in found.collect()}
+    assert rows == {r.payment_type: (r.n, r.c) for r in by.collect()} and None in rows
+    gold = star.counting_orders(mart.fact_payment).filter("counts_order").groupBy("payment_type").count()
+    assert {r.payment_type: r["count"] for r in gold.collect()} == {t: n for t, (n, _) in rows.items()}
+
+
 def test_facts_take_the_version_that_the_order_has(spark, tmp_path):
     at = folder(tmp_path, spark)
     mart = views.mart(spark, at)
