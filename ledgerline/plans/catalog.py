@@ -222,9 +222,7 @@ query("dashboard_measures", f"""SELECT order_status, {_d('sum(item_revenue)')} A
 query("question_repeat_by_segment", f"""SELECT v_segment AS segment, count(DISTINCT customer_unique_id) AS customers, count(*) AS orders, {_d('sum(order_total)')} AS revenue FROM fact_order GROUP BY 1""")(
     lambda s: views.order_point_in_time(s).groupBy(F.col("segment_at_order_time").alias("segment")).agg(F.count_distinct("customer_unique_id").alias("customers"), F.count(F.lit(1)).alias("orders"), F.sum("order_total").alias("revenue"))
 )
-query("question_city_at_order_time", "SELECT v_city AS city, count(*) AS orders, CAST(count_if(v_city <> n.customer_city) AS BIGINT) AS moved_since FROM fact_order f LEFT JOIN dim_customer n ON f.customer_unique_id = n.customer_unique_id AND n.is_current AND NOT n.is_deleted GROUP BY 1")(
-    lambda s: views.order_point_in_time(s).groupBy(F.col("city_at_order_time").alias("city")).agg(F.count(F.lit(1)).alias("orders"), F.count_if("customer_has_moved_since").alias("moved_since"))
-)
+query("question_city_at_order_time", "SELECT v_city AS city, count(*) AS orders, CAST(count_if(v_city <> n.customer_city) AS BIGINT) AS moved_since FROM fact_order f LEFT JOIN dim_customer n ON f.customer_unique_id = n.customer_unique_id AND n.is_current AND NOT n.is_deleted GROUP BY 1")(views.city_at_order_time)
 
 # --- dimensions and facts -------------------------------------------------
 query("dim_date", "SELECT * FROM dim_date")(lambda s: s.fresh("dim_date"))

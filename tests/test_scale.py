@@ -111,6 +111,18 @@ def test_orders_meet_both_versions_of_their_person_in_one_shuffle(spark, tmp_pat
     assert len(rows) == orders.count() and {r[5] for r in rows} == {"True", "False", "None"}
 
 
+def test_cities_of_orders_take_no_lines(spark, tmp_path):
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet")
+    at = folder(tmp_path, spark, orders=orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 9 == 0, F.col("o_custkey") + 5_000_000).when(F.col("o_orderkey") % 9 != 1, F.col("o_custkey"))))
+    found = QUERIES["question_city_at_order_time"](spark, at)
+    assert made(spark, at) == {"places"}
+    rows = {r.city: (r.orders, r.moved_since) for r in found.collect()}
+    mart = views.mart(spark, at)
+    by = views.order_point_in_time(mart).groupBy("city_at_order_time").agg(F.count(F.lit(1)).alias("n"), F.count_if("customer_has_moved_since").alias("m"))
+    assert rows == {r.city_at_order_time: (r.n, r.m) for r in by.collect()}
+    assert sum(n for n, _ in rows.values()) == orders.count() and None in rows and any(m for _, m in rows.values())
+
+
 def test_lines_of_sellers_are_neither_written_nor_dealt_out_again(spark, tmp_path):
     orders = spark.read.parquet(f"{SMALL}/orders.parquet")
     again = orders.filter("o_orderkey % 3 = 0").withColumn("o_orderdate", F.col("o_orderdate") + F.expr("INTERVAL '5' DAY"))
