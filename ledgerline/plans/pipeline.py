@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +48,9 @@ def seed_customers(context: Context) -> int:
     tables = Tables(context)
     if tables.count("gold.dim_customer"):
         return 0
-    return tables.replace("gold.dim_customer", Star(Silver(context), context.run_date).seeded)
+    silver, day = Silver(context), F.lit(context.run_date).cast("timestamp")
+    people = star.customer_attributes(silver.customers(), silver.orders(), silver.order_items(), day)
+    return tables.replace("gold.dim_customer", scd2.seed(people, scd2.CUSTOMER, F.col("first_order_ts")))
 
 
 def apply_changes(context: Context, changes: DataFrame) -> dict[str, int]:
@@ -69,7 +72,8 @@ def apply_changes(context: Context, changes: DataFrame) -> dict[str, int]:
 
 
 def build_star(context: Context) -> dict[str, int]:
-    """Dimensions and facts, each replaced as a whole."""
+    """Dimensions and facts, each replaced as a whole. Where orders, lines and payments are
+    dealt by order, so is ``fact_order``, and none of them is shuffled to meet another."""
     tables, silver = Tables(context), Silver(context)
     orders, items, customers, payments = silver.orders(), silver.order_items(), silver.customers(), silver.order_payments()
     out = {
@@ -80,10 +84,12 @@ def build_star(context: Context) -> dict[str, int]:
         "dim_payment_type": tables.replace("gold.dim_payment_type", star.dim_payment_type(payments)),
     }
     gold = lambda n: tables.read(f"gold.{n}")
-    versions = gold("dim_customer")
+    versions, dealt = gold("dim_customer"), tables.commit("silver.orders").dealt
     out["dim_customer"] = versions.count()
-    out["fact_order"] = tables.replace("gold.fact_order", star.fact_order(orders, items, customers, versions, gold("dim_order_status")))
-    out["fact_order_item"] = tables.replace("gold.fact_order_item", star.fact_order_item(items, gold("fact_order"), gold("dim_product"), gold("dim_seller")))
+    out["fact_order"] = tables.replace("gold.fact_order", star.fact_order(orders, items, customers, versions, gold("dim_order_status"), spread=not tables.commit("silver.order_items").dealt), dealt=dealt)
+    lines = star.sold(items, gold("fact_order"), gold("dim_seller")).drop(ingest.RESCUED, *ingest.PROVENANCE)
+    with tables.dealt_out(lines, ("product_id", dealt[1])) if dealt else nullcontext(lines) as held:
+        out["fact_order_item"] = tables.replace("gold.fact_order_item", star.fact_of_sold(held, gold("dim_product")))
     out["fact_payment"] = tables.replace("gold.fact_payment", star.fact_payment(payments, gold("fact_order"), gold("dim_payment_type")))
     return out
 

@@ -66,9 +66,11 @@ def order_events(orders: DataFrame, base: str, seed: int = 42) -> DataFrame:
     return each.select(F.explode(copies).alias("e")).select("e.*")
 
 
-def write_csv(df: DataFrame, folder: str, files: int = 1) -> None:
-    """CSV files with a header, in the order of the rows where there is one file."""
-    df.coalesce(files).write.mode("overwrite").option("header", "true").option("quoteAll", "false").csv(folder)
+def write_csv(df: DataFrame, folder: str, files: int | None = 1, compression: str = "none") -> None:
+    """CSV files with a header, in the order of the rows where there is one file; as many
+    as the frame has partitions if ``files`` is None."""
+    df = df if files is None else df.coalesce(files)
+    df.write.mode("overwrite").option("header", "true").option("quoteAll", "false").option("compression", compression).csv(folder)
 
 
 def write_jsonl(df: DataFrame, folder: str, files: int = 1) -> None:

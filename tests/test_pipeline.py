@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from ledgerline.operators import star
 from ledgerline.plans import ops, pipeline, probe
 from ledgerline.sources import generator, ingest
-from ledgerline.sources.tables import Conflict, Context, Tables
+from ledgerline.sources.tables import Conflict, Context, Tables, shared_root
 from ledgerline.streaming import events
 
 DATA = {
@@ -345,3 +346,56 @@ def test_a_mart_is_made_once_and_anew_when_files_change(spark, tmp_path):
 def test_the_entry_points():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 70
+
+
+def test_orders_lines_and_payments_are_dealt_once_and_meet_without_a_shuffle(spark, tmp_path):
+    folders = {}
+    for name, text in DATA.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.csv").write_text(text)
+        folders[name] = str(tmp_path / name)
+    context = Context(spark, str(tmp_path / "t"), "run1", "2018-06-01")
+    pipeline.run(context, folders)
+    tables, rows = Tables(context), lambda df: sorted(map(str, df.collect()))
+    dealt = ("order_id", ingest.LEAST_BUCKETS)
+    for name in ("bronze.orders", "bronze.order_items", "silver.orders", "silver.order_items", "silver.order_payments", "gold.fact_order"):
+        assert tables.commit(name).dealt == dealt
+    silver, facts = pipeline.Silver(context), tables.read("gold.fact_order")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        for df in (
+            ingest.clean(ingest.bronze(context, "order_items"), ingest.ENTITIES["order_items"], spread=False),
+            star.order_totals(silver.orders(), silver.order_items()),
+            silver.order_items().join(facts.select("order_id", "customer_sk"), "order_id"),
+            star.order_payments(silver.order_payments(), facts),
+        ):
+            assert "Exchange" not in plan(df) and df.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # What lands later is dealt as the rest is, and rows are the same as those dealt by no one.
+    (tmp_path / "orders" / "b.csv").write_text(DATA["orders"].replace("o1,c1,delivered", "o1,c1,shipped").replace("2018-01-01 10:00:00", "2018-01-03 10:00:00"))
+    assert pipeline.run(Context(spark, context.root, "run2", "2018-06-02"), folders)["fact_order"] == 3
+    assert tables.commit("bronze.orders").dealt == dealt and len(tables.commit("bronze.orders").folders) == 2
+    assert {r.order_id: r.order_status for r in silver.orders().collect()}["o1"] == "shipped"
+    plain = lambda n: spark.read.schema(tables.read(n).schema).parquet(*(f"{context.root}/{n.replace('.', '/')}/{f}" for f in tables.commit(n).folders))
+    assert rows(plain("bronze.orders")) == rows(tables.read("bronze.orders"))
+    cleaned = ingest.clean(plain("bronze.orders"), ingest.ENTITIES["orders"])
+    assert rows(cleaned.filter("order_id <> 'o4'")) == rows(silver.orders())
+    lines = star.fact_order_item(silver.order_items(), tables.read("gold.fact_order"), tables.read("gold.dim_product"), tables.read("gold.dim_seller"))
+    assert rows(lines) == rows(tables.read("gold.fact_order_item"))
+    assert not list((tmp_path / "t" / "_stages").iterdir())
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("ledgerline_")]
+
+
+def test_the_whole_pipeline_lands_compressed_files(spark):
+    source = Path("/root/testdata/sf0.001")
+    if not source.exists():
+        pytest.skip("no tables here")
+    root = Path(shared_root(spark))
+    known = set(root.glob("ledgerline-batch-*"))
+    found = {r.what: r.n for r in entry.queries()["batch_pipeline"](spark, str(source)).collect()}
+    (made,) = set(root.glob("ledgerline-batch-*")) - known
+    assert found["rows with their file and time"] == found["gold.fact_order"] > 0 and found["tasks that succeeded"] == 12
+    assert list(made.glob("landing/orders/*.csv.gz")) and not list(made.glob("landing/orders/*.csv"))
